@@ -20,21 +20,26 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the master
-    runs in this very process (as in tests) is a temporary folder used.
+    Only where that is unset and the master runs in this very process (as in tests) is it a
+    temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if shared is None:
-            if not context.master.startswith("local[") and context.master != "local":
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="codeloupe-checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

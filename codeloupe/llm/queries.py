@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloupe.llm import decontamination, simhash_dedup
+from codeloupe.llm import decontamination, mixing, quality_gam, sharding, simhash_dedup
 from codeloupe.llm.common import table
 
 
@@ -23,8 +23,20 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assignments(table(spark, sf_dir, "documents"))
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_benchmark_decontamination)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_benchmark_decontamination, op6_quality_gam, op9_minimax_sharding, op10_temperature_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
