@@ -233,7 +233,7 @@ def phrase_count(p: Phrase) -> Column:
 
 
 def near(node: Node) -> Column:
-    """Whether a column holds one of each phrase with ``distance`` tokens at most between first and last."""
+    """Whether a column holds one of each phrase, each with ``distance`` tokens at most between it and the first one."""
     found = F.lit(False)
     for c in COLUMNS:
         ws = F.col("__words")[COLUMNS.index(c)]
@@ -241,7 +241,7 @@ def near(node: Node) -> Column:
         if any(c not in p.columns for p in phrases):
             continue
 
-        def places(p: Phrase, ws: Column = ws) -> Column:
+        def places(p: Phrase, ws: Column = ws) -> Column:  # bound now: the loop goes on
             n = len(p.tokens)
             every_place = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)))
 
@@ -254,9 +254,17 @@ def near(node: Node) -> Column:
 
             return F.filter(every_place, here)
 
-        reach = sum(len(p.tokens) for p in phrases) + node.distance
+        lengths = [len(p.tokens) for p in phrases]
         first, *others = [places(p) for p in phrases]
-        close = F.exists(first, lambda i, others=others: _all([F.exists(o, lambda j: F.abs(i - j) <= reach) for o in others]))
+
+        def beside(i: Column, k: int, others: list[Column] = others, lengths: list[int] = lengths) -> Column:
+            gap = lambda j: F.greatest(j - i - lengths[0], i - j - lengths[k + 1])
+            return F.exists(others[k], lambda j: gap(j) <= node.distance)
+
+        def all_beside(i: Column) -> Column:
+            return _all([beside(i, k) for k in range(len(others))])
+
+        close = F.exists(first, all_beside)
         found = found | close
     return found
 

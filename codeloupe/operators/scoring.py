@@ -72,9 +72,10 @@ def aggregate(scored: DataFrame) -> DataFrame:
     """One row, ``risk_score, confidence, risk_tier``: the worst item at 60 %, the mean by 1/distance at 40 %."""
     weight = F.when(F.col("distance") > 1, 1.0 / F.col("distance")).otherwise(1.0)
     sums = scored.agg(F.max("risk_score").alias("top"), F.sum(F.col("risk_score") * weight).alias("risk"), F.sum(weight).alias("weight"), F.avg("confidence").alias("confidence"))
+    some = F.col("top").isNotNull()
     mean = clamp(F.floor(F.col("risk") / F.col("weight") + 0.5), 0, 100)
-    whole = F.coalesce(clamp(F.floor((clamp(F.col("top"), 0, 100) * 60 + mean * 40) / 100), 0, 100).cast("int"), F.lit(0))
-    return sums.select(whole.alias("risk_score"), F.coalesce(clamp(F.col("confidence"), 0.0, 1.0), F.lit(0.0)).alias("confidence"), tier(whole).alias("risk_tier"))
+    whole = F.when(some, F.floor((clamp(F.col("top"), 0, 100) * 60 + mean * 40) / 100)).otherwise(0).cast("int")
+    return sums.select(whole.alias("risk_score"), F.when(some, clamp(F.col("confidence"), 0.0, 1.0)).otherwise(0.0).alias("confidence"), tier(whole).alias("risk_tier"))
 
 
 def boundaries(scored: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ class Scan:
 
     def close(self, i: int) -> int:
         """The number of the bracket that closes the one at ``i``, or of the last token."""
-        return self.t[i].pair if self.t[i].pair > i else len(self.t) - 1
+        return self.t[i].pair if i < len(self.t) and self.t[i].pair > i else len(self.t) - 1
 
     def find(self, i: int, stops: str, limit: int | None = None) -> int:
         """The first of some signs from ``i`` on, outside of round and square brackets."""
