@@ -12,14 +12,17 @@ where an order of suffixes is needed:
    the first are removed whole, without a look at their windows. What is left is one run for each
    distinct stretch. Only those whose anchor and one of the 60-byte sides recur elsewhere can hold a
    window of another one; such are the edges of repeated passages.
-3. The suffixes at these runs' windows, as ``WINDOW`` bytes each, are range-partitioned by leading
-   bytes with sampled splitters and sorted in each bucket by a multikey quicksort that splits on
-   eight bytes at a time. Equal neighbours but the first are removed. Splitters cut between
-   different keys, so no run of equal ones crosses a bucket's boundary.
-
-No step needs a group of equal strings in one place: a task sends one record of a stretch or window
-at most, the first it has seen, and removes its others itself. Runs of an anchor that a task sees
-in very many different stretches go to step 3 directly, with one record for each different side.
+3. These runs' stretches are range-partitioned by the leading bytes of the suffix at their anchor,
+   with sampled splitters. Each bucket sorts the suffixes at all their windows by a multikey
+   quicksort that splits on eight bytes at a time, and removes equal neighbours but the first. Equal
+   windows have equal anchors, and splitters cut between different anchors, so no run of equal ones
+   crosses a bucket's boundary.
+
+No step needs a group of equal strings in one place: a task sends one record of a stretch at most,
+the first it has seen, and removes its others itself. An anchor in very many different stretches (at
+the edge of a passage that many documents share) is crowded: a task sends one record for each
+different side of it, and in step 3 its windows go to buckets by their own hashes instead, the first
+of equal ones only.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ ANCHOR = 20
 #: Anchors of a window; a window reaches SIDE bytes beyond its anchor on one side at least.
 PLACES = WINDOW - ANCHOR + 1
 SIDE = (WINDOW - ANCHOR) // 2
-#: Runs of one anchor and different stretches that a task sends as records.
-CROWD = 256
+#: Runs of one anchor and different stretches that a task sends as records, and that a bucket sorts together.
+CROWD, BUCKET_CROWD = 256, 8192
 #: Runs that a task gathers before it sends them, and bytes of windows likewise.
 RUNS, WINDOW_BYTES = 300_000, 24 << 20
 #: Bytes of text that are worked on at once.
@@ -50,8 +53,10 @@ TEXT_BYTES = 1 << 20
 MARKS = 1 << 18
 #: Leading bytes of the sample that splitters are taken from, and its size.
 LEAD, SAMPLE = 16, 20_000
-CUT, FINE, LEADS = 0, 1, 2
-RECORD = np.dtype([("h", "<u8"), ("s", "<u8"), ("r", "<u2"), ("l", "<u2"), ("doc", "<i8"), ("a", "<u4"), ("more", "u1")])
+CUT, FINE, LEADS, CROWDED = 0, 1, 2, 3
+#: ``more``: windows after the first one, and CROWD_BIT; ``off``: bytes from the stretch's start to its anchor.
+RECORD = np.dtype([("h", "<u8"), ("s", "<u8"), ("r", "<u2"), ("l", "<u2"), ("doc", "<i8"), ("a", "<u4"), ("more", "u1"), ("off", "u1")])
+CROWD_BIT = 128
 
 BASE = 0x9E3779B97F4A7C15 | 5  # odd, so that it has an inverse
 
@@ -124,9 +129,9 @@ def runs(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, list[bytes]]
     out["r"] = np.where(right, hashed(s, np.where(right, s + ANCHOR + SIDE, s + ANCHOR)) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     out["l"] = np.where(left, hashed(np.where(left, s - SIDE, s), s + ANCHOR) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     row = np.searchsorted(ends, a, side="right")
-    out["doc"], out["a"], out["more"] = docs[keep][row], a - begins[row], b - a
+    out["doc"], out["a"], out["more"], out["off"] = docs[keep][row], a - begins[row], b - a, s - a
     some = np.flatnonzero(mixed(out["s"]) % np.uint64(2048) == 0)
-    return out, [buffer[i : i + LEAD] for i in a[some].tolist()]
+    return out, [buffer[i : i + LEAD] for i in s[some].tolist()]
 
 
 def heads(x: np.ndarray, *names: str) -> np.ndarray:
@@ -157,15 +162,15 @@ def shared_sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shared, leads
 
 
-def rows(kind: int, doc: np.ndarray, a: np.ndarray, e: np.ndarray) -> dict[str, pa.Array]:
+def rows(kind: int, doc: np.ndarray, a: np.ndarray, e: np.ndarray, off: np.ndarray | None = None) -> dict[str, pa.Array]:
     n = len(doc)
-    return {"kind": pa.array(np.full(n, kind, np.int32)), "doc": pa.array(doc.astype(np.int64)), "a": pa.array(a.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "lead": pa.nulls(n, pa.binary())}
+    return {"kind": pa.array(np.full(n, kind, np.int32)), "doc": pa.array(doc.astype(np.int64)), "a": pa.array(a.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "off": pa.nulls(n, pa.int32()) if off is None else pa.array(off.astype(np.int32)), "lead": pa.nulls(n, pa.binary())}
 
 
-FOUND = "kind int, doc long, a int, e int, lead binary"
-FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("lead", pa.binary())])
-SENT = "bucket int, doc long, a int, e int, lead binary, kind int, packed binary"
-SENT_ARROW = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("lead", pa.binary()), ("kind", pa.int32()), ("packed", pa.binary())])
+FOUND = "kind int, doc long, a int, e int, off int, lead binary"
+FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("off", pa.int32()), ("lead", pa.binary())])
+SENT = "bucket int, doc long, a int, e int, off int, lead binary, kind int, packed binary"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("a", pa.int32()), ("e", pa.int32()), ("off", pa.int32()), ("lead", pa.binary()), ("kind", pa.int32()), ("packed", pa.binary())])
 
 
 def sent(n: int, **given) -> pa.RecordBatch:
@@ -211,8 +216,9 @@ def sift(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         crowded = np.repeat(size > CROWD, size)
         if crowded.any():
             crowd = first[crowded]
-            yield passed(crowd["doc"], crowd["a"], crowd["a"].astype(np.int64) + crowd["more"] + WINDOW, FINE, buckets)
+            yield passed(crowd["doc"], crowd["a"], crowd["a"].astype(np.int64) + crowd["more"] + WINDOW, CROWDED, buckets)
             _, leads = shared_sides(crowd)
+            crowd["more"] |= CROWD_BIT
             first = np.concatenate([first[~crowded], crowd[leads]])
         bucket = (first["h"] % np.uint64(buckets)).astype(np.int64)
         # Column after column: what is small or repeats in a column packs well.
@@ -266,16 +272,20 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done
         gathered += map(unpacked, blobs)
     if gathered:
-        first, other = firsts(np.concatenate(gathered))
+        every = np.concatenate(gathered)
+        marked = np.unique(every["h"][every["more"] >= CROWD_BIT])
+        every["more"] &= CROWD_BIT - 1
+        first, other = firsts(every)
         shared, _ = shared_sides(first)
-        fine = first[shared]
-        for kind, x in ((CUT, other), (FINE, fine)):
-            doc, a, e = x["doc"], x["a"].astype(np.int64), x["a"].astype(np.int64) + x["more"] + WINDOW
+        size = np.diff(np.append(np.flatnonzero(heads(first, "h")), len(first)))
+        crowded = np.isin(first["h"], marked) | np.repeat(size > BUCKET_CROWD, size)
+        for kind, x in ((CUT, other), (FINE, first[shared & ~crowded]), (CROWDED, first[crowded])):
+            doc, a, e, off = x["doc"], x["a"].astype(np.int64), x["a"].astype(np.int64) + x["more"] + WINDOW, x["off"]
             if kind == CUT:
                 doc, a, e = merged(doc, a, e)
             for i in range(0, len(doc), 1 << 18):
                 c = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_pydict(rows(kind, doc[c], a[c], e[c]), schema=FOUND_ARROW)
+                yield pa.RecordBatch.from_pydict(rows(kind, doc[c], a[c], e[c], off[c] if kind == FINE else None), schema=FOUND_ARROW)
 
 
 def suffix_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,57 +321,141 @@ def sort_windows(text: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.
     return order[new], order[~new]
 
 
+def window_bucket(text: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of windows by a hash of all their bytes."""
+    wide = np.zeros((len(text), -(-WINDOW // 8) * 8), np.uint8)
+    wide[:, :WINDOW] = text
+    words = wide.view("<u8")
+    h = np.zeros(len(text), np.uint64)
+    for k in range(words.shape[1]):
+        h = mixed(h + words[:, k])
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
 def spread(splitters: np.ndarray, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Step 3, first half: documents with spans to the windows in them, by bucket of their leading bytes."""
+    """Step 3, first half: documents with runs to their stretches, by bucket of the suffix at the anchor; or to the windows of crowded ones."""
+
+    def emit_runs(runs_: list[tuple[bytes, int, int, int]]) -> Iterator[pa.RecordBatch]:
+        lead = np.array([t[off : off + LEAD] for t, _, _, off in runs_], f"S{LEAD}")
+        bucket = np.searchsorted(splitters, lead, side="right")
+
+        def pack(own: np.ndarray) -> bytes:
+            mine = [runs_[i] for i in own.tolist()]
+            fields = ((1, "<i8"), (2, "<i4"), (3, "u1"))
+            return b"S" + np.int64(len(mine)).tobytes() + np.array([len(x[0]) for x in mine], "u1").tobytes() + b"".join(np.array([x[k] for x in mine], t).tobytes() for k, t in fields) + b"".join(x[0] for x in mine)
+
+        if made := packed(np.argsort(bucket, kind="stable"), bucket, pack):
+            yield made
 
-    def emit(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def emit_windows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         text, doc, at = (np.concatenate(x) for x in zip(*parts))
         first, other = sort_windows(text, doc, at)
         if len(other):
             yield passed(*merged(doc[other], at[other], at[other] + WINDOW), CUT, buckets)
-        lead = np.ascontiguousarray(text[first, :LEAD]).view(f"S{LEAD}").ravel()
-        bucket = np.searchsorted(splitters, lead, side="right")
-        made = packed(np.argsort(bucket, kind="stable"), bucket, lambda own: text[first[own]].tobytes() + doc[first[own]].astype("<i8").tobytes() + at[first[own]].astype("<i4").tobytes())
-        if made:
+        bucket = window_bucket(text[first], buckets)
+        pack = lambda own: b"W" + np.int64(len(own)).tobytes() + text[first[own]].tobytes() + doc[first[own]].astype("<i8").tobytes() + at[first[own]].astype("<i4").tobytes()
+        if made := packed(np.argsort(bucket, kind="stable"), bucket, pack):
             yield made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        runs_, parts, size = [], [], 0
         for batch in batches:
             for part, texts in slices(batch, "text", TEXT_BYTES):
                 for doc, raw, listed in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist()):
+                    crowded = []
+                    for x in listed or ():
+                        if x["kind"] == FINE:
+                            runs_.append((raw[x["a"] : x["e"]], doc, x["a"], x["off"]))
+                        else:
+                            crowded.append(np.arange(x["a"], x["e"] - WINDOW + 1))
+                    if len(runs_) >= RUNS:
+                        yield from emit_runs(runs_)
+                        runs_ = []
+                    if not crowded:
+                        continue
                     views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), WINDOW)
-                    at = np.unique(np.concatenate([np.arange(x["a"], x["e"] - WINDOW + 1) for x in listed]))
+                    at = np.unique(np.concatenate(crowded))
                     for i in range(0, len(at), WINDOW_BYTES // WINDOW):
                         own = at[i : i + WINDOW_BYTES // WINDOW]
                         parts.append((views[own], np.full(len(own), doc, np.int64), own))
                         size += len(own) * WINDOW
                         if size >= WINDOW_BYTES:
-                            yield from emit(parts)
+                            yield from emit_windows(parts)
                             parts, size = [], 0
+        if runs_:
+            yield from emit_runs(runs_)
         if parts:
-            yield from emit(parts)
+            yield from emit_windows(parts)
 
     return run
 
 
+def cuts_of(text: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The spans of all windows but the first of each kind."""
+    _, other = sort_windows(text, doc, at)
+    doc, a, e = merged(doc[other], at[other], at[other].astype(np.int64) + WINDOW)
+    for i in range(0, len(doc), 1 << 18):
+        c = slice(i, i + (1 << 18))
+        yield pa.RecordBatch.from_pydict(rows(CUT, doc[c], a[c], e[c]), schema=FOUND_ARROW)
+
+
+def windows_of(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of packed stretches, some at a time: all of one distance to their anchors together.
+
+    Equal windows have their anchors at equal distances, and an anchor in one stretch alone has no
+    equal window elsewhere.
+    """
+    longest = WINDOW + PLACES
+    text, size, doc, a, off = [], [], [], [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, "<i8", 1, 1)[0])
+        at = 9
+        own = []
+        for kind in ("u1", "<i8", "<i4", "u1"):
+            own.append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        wide = np.zeros((n, longest), np.uint8)
+        wide[np.arange(longest) < own[0][:, None]] = np.frombuffer(blob, np.uint8, offset=at)
+        for x, y in zip((text, size, doc, a, off), (wide, *own)):
+            x.append(y)
+    wide, n, doc, a, off = np.concatenate(text), *(np.concatenate(x).astype(np.int64) for x in (size, doc, a, off))
+    anchors = np.ascontiguousarray(wide[np.arange(len(wide))[:, None], off[:, None] + np.arange(ANCHOR)]).view(f"V{ANCHOR}").ravel()
+    _, back, times = np.unique(anchors, return_inverse=True, return_counts=True)
+    own = times[back] > 1
+    wide, n, doc, a, off = wide[own], n[own], doc[own], a[own], off[own]
+    parts, rows_ = [], 0
+    for distance in range(PLACES):
+        start = off - distance
+        has = np.flatnonzero((start >= 0) & (start + WINDOW <= n))
+        if not len(has):
+            continue
+        parts.append((wide[has[:, None], start[has][:, None] + np.arange(WINDOW)], doc[has], a[has] + start[has]))
+        rows_ += len(has)
+        if rows_ >= WINDOW_BYTES // WINDOW:
+            yield tuple(np.concatenate(x) for x in zip(*parts))
+            parts, rows_ = [], 0
+    if parts:
+        yield tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, second half: sorts a bucket's windows; all but the first of equal ones are spans that go."""
-    parts = []
+    """Step 3, second half: sorts a bucket's suffixes; all but the first of equal windows are spans that go."""
+    stretches, parts = [], []
     for batch in batches:
         done, blobs = split(batch)
         if done is not None and done.num_rows:
             yield done
         for blob in blobs:
-            n = len(blob) // (WINDOW + 12)
-            parts.append((np.frombuffer(blob, np.uint8, n * WINDOW).reshape(n, WINDOW), np.frombuffer(blob, "<i8", n, n * WINDOW), np.frombuffer(blob, "<i4", n, n * (WINDOW + 8))))
+            if blob[:1] == b"S":
+                stretches.append(blob)
+                continue
+            n = int(np.frombuffer(blob, "<i8", 1, 1)[0])
+            parts.append((np.frombuffer(blob, np.uint8, n * WINDOW, 9).reshape(n, WINDOW), np.frombuffer(blob, "<i8", n, 9 + n * WINDOW), np.frombuffer(blob, "<i4", n, 9 + n * (WINDOW + 8)).astype(np.int64)))
+    if stretches:
+        for windows in windows_of(stretches):
+            yield from cuts_of(*windows)
     if parts:
-        text, doc, at = (np.concatenate(x) for x in zip(*parts))
-        _, other = sort_windows(text, doc, at)
-        doc, a, e = merged(doc[other], at[other], at[other].astype(np.int64) + WINDOW)
-        for i in range(0, len(doc), 1 << 18):
-            c = slice(i, i + (1 << 18))
-            yield pa.RecordBatch.from_pydict(rows(CUT, doc[c], a[c], e[c]), schema=FOUND_ARROW)
+        yield from cuts_of(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -399,11 +493,11 @@ def removable(docs: DataFrame) -> DataFrame:
     sifted = docs.select("rid", "text").mapInArrow(sift(buckets), SENT)
     found = stored(sifted.repartitionById(buckets, F.col("bucket")).mapInArrow(settle, FOUND), "found")
     cuts = found.where(F.col("kind") == CUT).select("doc", "a", "e")
-    fine = found.where(F.col("kind") == FINE)
+    fine = found.where(F.col("kind").isin(FINE, CROWDED))
     leads = found.where(F.col("kind") == LEADS).select("lead").orderBy(F.xxhash64("lead")).limit(SAMPLE)
     sample = sorted(bytes(x) for (x,) in leads.collect())
     splitters = np.array([sample[len(sample) * i // buckets] for i in range(1, buckets)] if sample else [], f"S{LEAD}")
-    listed = fine.groupBy("doc").agg(F.collect_list(F.struct("a", "e")).alias("spans"))  # of one document each
+    listed = fine.groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "e", "off")).alias("spans"))  # of one document each
     own, _ = taking_part(docs, fine)
     with_spans = own.join(listed.hint("shuffle_hash"), own["rid"] == listed["doc"]).select("rid", "text", "spans")
     windows = with_spans.mapInArrow(spread(splitters, buckets), SENT)
