@@ -34,9 +34,9 @@ def words(text: str) -> str:
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, size, gram``: the distinct windows of each item as space-joined words."""
-    items = computed(columns(benchmark, item_id="string", text="string"), "w", words("text")).where("size(w) > 0")
-    spans = items.select("item_id", "w", F.expr(f"least(size(w), {window})").alias("size"), F.expr(f"explode(sequence(1, greatest(size(w) - {window - 1}, 1)))").alias("at"))
-    return spans.select("item_id", "size", F.expr("array_join(slice(w, at, size), ' ')").alias("gram")).distinct()
+    items = computed(columns(benchmark, item_id="string", text="string"), "__w", words("text")).where("size(__w) > 0")
+    spans = items.select("item_id", "__w", F.expr(f"least(size(__w), {window})").alias("size"), F.expr(f"explode(sequence(1, greatest(size(__w) - {window - 1}, 1)))").alias("at"))
+    return spans.select("item_id", "size", F.expr("array_join(slice(__w, at, size), ' ')").alias("gram")).distinct()
 
 
 def computed(df: DataFrame, name: str, sql: str) -> DataFrame:
@@ -55,56 +55,56 @@ def in_set(value: str, members: list) -> str:
 
 
 def hits_by_set(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """``docs`` with ``w`` (words) and ``hits``, an array of ``struct<at, size, gram>``, from the broadcast set."""
+    """``docs`` with ``__w`` (words) and ``__hits``, an array of ``struct<at, size, gram>``, from the broadcast set."""
     listed = grams.select("size", "gram").distinct().collect()
     by_size: dict[int, list[str]] = {}
     for size, gram in listed:
         by_size.setdefault(size, []).append(gram)
-    tokens = computed(docs, "w", words("text"))
+    tokens = computed(docs, "__w", words("text"))
     if not listed:
-        return tokens.withColumn("hits", F.expr("cast(array() as array<struct<at: int, size: int, gram: string>>)"))
+        return tokens.withColumn("__hits", F.expr("cast(array() as array<struct<at: int, size: int, gram: string>>)"))
     block = (min(by_size) + 1) // 2  # a window has a whole block of this many words at a multiple of it
-    at_block = "xxhash64(" + ", ".join(f"w[i + {k}]" for k in range(block)) + ")"
-    every = computed(grams, "w", "split(gram, ' ')").select(F.expr(f"explode(transform(sequence(0, size - {block}), i -> {at_block}))").alias("h"))
+    at_block = "xxhash64(" + ", ".join(f"__w[i + {k}]" for k in range(block)) + ")"
+    every = computed(grams, "__w", "split(gram, ' ')").select(F.expr(f"explode(transform(sequence(0, size - {block}), i -> {at_block}))").alias("h"))
     hashed = every.distinct().collect()
-    sieve = f"size(w) >= {block} AND exists(sequence(0, greatest(size(w) - {block}, 0), {block}), i -> {in_set(at_block, [h for (h,) in hashed])})"
+    sieve = f"size(__w) >= {block} AND exists(sequence(0, greatest(size(__w) - {block}, 0), {block}), i -> {in_set(at_block, [h for (h,) in hashed])})"
     found = [
-        f"filter(transform(sequence(1, greatest(size(w) - {size - 1}, 1)), i -> struct(i AS at, {size} AS size, array_join(slice(w, i, {size}), ' ') AS gram)), h -> {in_set('h.gram', members)})"
+        f"filter(transform(sequence(1, greatest(size(__w) - {size - 1}, 1)), i -> struct(i AS at, {size} AS size, array_join(slice(__w, i, {size}), ' ') AS gram)), h -> {in_set('h.gram', members)})"
         for size, members in sorted(by_size.items())
     ]
-    return computed(tokens, "hits", f"CASE WHEN {sieve} THEN array_sort(concat({', '.join(found)})) END")
+    return computed(tokens, "__hits", f"CASE WHEN {sieve} THEN array_sort(concat({', '.join(found)})) END")
 
 
 def hits_by_join(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """The same as ``hits_by_set`` for a benchmark of any size; ``docs`` must have a unique ``rid``."""
-    tokens = computed(docs, "w", words("text"))
+    """The same as ``hits_by_set`` for a benchmark of any size; ``docs`` must have a unique ``__rid``."""
+    tokens = computed(docs, "__w", words("text"))
     sizes = [size for (size,) in grams.select("size").distinct().orderBy("size").collect()]
-    spans = [tokens.select("rid", F.lit(size).alias("size"), F.expr(f"posexplode(transform(sequence(1, greatest(size(w) - {size - 1}, 1)), i -> array_join(slice(w, i, {size}), ' ')))").alias("at", "gram")) for size in sizes]
+    spans = [tokens.select("__rid", F.lit(size).alias("size"), F.expr(f"posexplode(transform(sequence(1, greatest(size(__w) - {size - 1}, 1)), i -> array_join(slice(__w, i, {size}), ' ')))").alias("at", "gram")) for size in sizes]
     if not spans:
-        return tokens.withColumn("hits", F.expr("cast(array() as array<struct<at: int, size: int, gram: string>>)"))
+        return tokens.withColumn("__hits", F.expr("cast(array() as array<struct<at: int, size: int, gram: string>>)"))
     every = spans[0]
     for other in spans[1:]:
         every = every.unionByName(other)
     matched = every.join(grams.select("size", "gram").distinct(), ["size", "gram"], "left_semi")
-    found = matched.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "size", "gram"))).alias("hits"))
-    return tokens.join(found, "rid", "left")
+    found = matched.groupBy("__rid").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "size", "gram"))).alias("__hits"))
+    return tokens.join(found, "__rid", "left")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a unique ``rid``, ``w``, ``hits`` and ``n_hit``; and the benchmark's windows.
+    """``docs`` with a unique ``__rid``, ``__w``, ``__hits`` and ``__n_hit``; and the benchmark's windows.
 
-    ``hits`` is null where the sieve finds nothing. ``n_hit`` counts words covered by any hit: a
+    ``__hits`` is null where the sieve finds nothing. ``__n_hit`` counts words covered by any hit: a
     hit adds the words past the last one's end.
     """
     grams = checkpointed(benchmark_windows(benchmark, window))
-    keyed = docs.withColumn("rid", F.monotonically_increasing_id())
+    keyed = docs.withColumn("__rid", F.monotonically_increasing_id())
     if grams.select("size", "gram").distinct().count() <= max_windows:
         found = hits_by_set(keyed, grams)
     else:
         found = hits_by_join(checkpointed(keyed), grams)
-    covered = """aggregate(coalesce(hits, array()), struct(0 AS upto, 0L AS n),
+    covered = """aggregate(coalesce(__hits, array()), struct(0 AS upto, 0L AS n),
         (s, h) -> struct(greatest(s.upto, h.at + h.size - 1) AS upto, s.n + greatest(h.at + h.size - 1 - greatest(s.upto, h.at - 1), 0) AS n), s -> s.n)"""
-    return computed(found, "n_hit", covered), grams
+    return computed(found, "__n_hit", covered), grams
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -115,18 +115,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     rows give repeated results.
     """
     found, grams = scan(columns(docs, doc_id="long", text="string"), benchmark, window, max_windows)
-    slim = found.select("rid", "doc_id", F.expr("cast(size(w) AS bigint)").alias("n_words"), "n_hit", F.expr("explode_outer(transform(hits, h -> h.gram))").alias("gram"))
+    slim = found.select("__rid", "doc_id", F.expr("cast(size(__w) AS bigint)").alias("n_words"), "__n_hit", F.expr("explode_outer(transform(__hits, h -> h.gram))").alias("gram"))
     # Distinct windows of a document before the join: at most one row for each.
-    per_gram = slim.groupBy("rid", "doc_id", "n_words", "n_hit", "gram").agg(F.lit(1).alias("one"))
+    per_gram = slim.groupBy("__rid", "doc_id", "n_words", "__n_hit", "gram").agg(F.lit(1).alias("one"))
     items = per_gram.join(grams.select("gram", "item_id"), "gram", "left")
-    per_doc = items.groupBy("rid", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    per_doc = items.groupBy("__rid", "doc_id", "n_words", "__n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     return per_doc.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        F.col("__n_hit").alias("n_hit"),
         F.expr("cast(size(items) AS bigint)").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.col("__n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -141,15 +141,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     found, _ = scan(docs, benchmark, window, max_windows)
     if remove == "documents":
-        return found.where("n_hit = 0").select(docs.columns)
+        return found.where("__n_hit = 0").select(docs.columns)
     # Pieces alternate: separator, word, separator, ..., so word k is piece 2k and cutting is by index.
-    runs = """aggregate(hits, cast(array() AS array<struct<a: int, b: int>>), (s, h) ->
+    runs = """aggregate(__hits, cast(array() AS array<struct<a: int, b: int>>), (s, h) ->
         CASE WHEN size(s) > 0 AND h.at <= s[size(s) - 1].b + 1
              THEN concat(slice(s, 1, size(s) - 1), array(struct(s[size(s) - 1].a AS a, greatest(s[size(s) - 1].b, h.at + h.size - 1) AS b)))
              ELSE concat(s, array(struct(h.at AS a, h.at + h.size - 1 AS b))) END)"""
     gaps = r"regexp_extract_all(text, '([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|$)', 0)"
-    cut = computed(computed(found, "__runs", f"CASE WHEN n_hit > 0 THEN {runs} END"), "__pieces", f"CASE WHEN n_hit > 0 THEN {gaps} END")
+    cut = computed(computed(found, "__runs", f"CASE WHEN __n_hit > 0 THEN {runs} END"), "__pieces", f"CASE WHEN __n_hit > 0 THEN {gaps} END")
     kept = r"""array_join(transform(__pieces, (p, i) -> CASE
         WHEN exists(__runs, r -> i + 1 = r.a) THEN regexp_extract(p, '^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*', 0)
         WHEN exists(__runs, r -> i + 1 > r.a AND i + 1 <= r.b) THEN '' ELSE p END), '')"""
-    return cut.withColumn("text", F.when(F.col("n_hit") > 0, F.expr(kept)).otherwise(F.col("text"))).select(docs.columns)
+    return cut.withColumn("text", F.when(F.col("__n_hit") > 0, F.expr(kept)).otherwise(F.col("text"))).select(docs.columns)

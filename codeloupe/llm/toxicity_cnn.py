@@ -101,15 +101,18 @@ class Cnn:
         e[words < 0] = 0
         return e
 
-    def convolve(self, e: np.ndarray) -> list[np.ndarray]:
+    def convolve(self, e: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """The filters' values at each window; one that reaches into the next text never wins."""
         made = []
         for kernel, bias in zip(self.kernels, self.biases):
             n = len(e) - len(kernel) + 1
             made.append(sum(e[o : o + n] @ kernel[o] for o in range(len(kernel))) + bias)
+            for o in range(1, len(kernel)):
+                made[-1][starts[1:] - o] = -np.inf
         return made
 
     def logits(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        pooled = np.concatenate([np.maximum.reduceat(c, starts) for c in self.convolve(self.embed(words))], axis=1)
+        pooled = np.concatenate([np.maximum.reduceat(c, starts) for c in self.convolve(self.embed(words), starts)], axis=1)
         return np.maximum(pooled, 0) @ self.out + self.shift
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -152,7 +155,7 @@ class Adagrad:
 
 def train_step(model: Cnn, grow: Adagrad, words: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
     e = model.embed(words)
-    maps = model.convolve(e)
+    maps = model.convolve(e, starts)
     ends = np.append(starts[1:], len(words))
     n = len(y)
     wins = [np.stack([a + m[a : min(b, len(m))].argmax(0) for a, b in zip(starts, ends)]) for m in maps]
