@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloupe.checkpoints import checkpointed
 from codeloupe.functions import text
 from codeloupe.operators import aggregates, fulltext, graph, resolve, scoring, search, workspace
 from codeloupe.operators.search import SearchQuery
@@ -179,12 +180,12 @@ RECURSIVE_CALLERS = """RECURSIVE WITH walk AS (
 
 @query(RECURSIVE_CALLERS.format(root=NAME, depth=2), "refs")
 def callers_recursive_d2(refs):
-    return graph.callers_recursive(refs, NAME, 2).withColumn("path", F.array_join("path", ">"))
+    return graph.callers_recursive(checkpointed(refs), NAME, 2).withColumn("path", F.array_join("path", ">"))
 
 
 @query(RECURSIVE_CALLERS.format(root=NAME, depth=5), "refs")
 def callers_recursive_cycles(refs):
-    return graph.callers_recursive(refs, NAME, 5).withColumn("path", F.array_join("path", ">"))
+    return graph.callers_recursive(checkpointed(refs), NAME, 5).withColumn("path", F.array_join("path", ">"))
 
 
 NOT_RUN = "name NOT IN ('main', 'init') AND lower(name) NOT LIKE 'test%' AND lower(name) NOT LIKE 'benchmark%' AND lower(name) NOT LIKE 'example%' AND lower(name) NOT LIKE 'fuzz%'"
@@ -433,7 +434,8 @@ AGGREGATE = """SELECT CAST(floor((max(risk_score) * 60 + floor(sum(risk_score /
 
 
 def walked(symbols, refs):
-    """The expansions of the walk that the impact queries share."""
+    """The expansions of the walk that the impact queries share; the relations, joins of tables here, are made once."""
+    symbols, refs = checkpointed(symbols), checkpointed(refs)
     own = refs.filter("repo_id = 'r0'").groupBy(F.col("callee_name").alias("name")).agg(F.count("*").alias("n"))
     top = symbols.filter("repo_id = 'r0'").select("name").distinct().join(own, "name").orderBy(F.desc("n"), "name").limit(1).collect()
     start = graph.start_symbol(symbols, "r0", top[0]["name"])
