@@ -74,9 +74,9 @@ g AS (
     SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS gram
     FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
 s AS (SELECT DISTINCT size FROM g),
-d AS (SELECT rid, size, i AS at, array_to_string(list_slice(w, i, i + size - 1), ' ') AS gram FROM w, s, unnest(range(1, greatest(len(w) - size + 2, 1))) AS t(i)),
-hits AS (SELECT d.rid, d.at, d.size, g.item_id FROM d JOIN g ON g.size = d.size AND g.gram = d.gram),
-n AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(at, at + size)) AS k FROM hits) GROUP BY rid),
+d AS (SELECT rid, size, i AS pos, array_to_string(list_slice(w, i, i + size - 1), ' ') AS gram FROM w, s, unnest(range(1, greatest(len(w) - size + 2, 1))) AS t(i)),
+hits AS (SELECT d.rid, d.pos, d.size, g.item_id FROM d JOIN g ON g.size = d.size AND g.gram = d.gram),
+n AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS k FROM hits) GROUP BY rid),
 i AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS ids FROM hits GROUP BY rid)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN n ON n.rid = w.rid LEFT JOIN i ON i.rid = w.rid"""
