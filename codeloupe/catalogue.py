@@ -40,6 +40,11 @@ RELATIONS = {
         CASE WHEN c_custkey % 2 = 0 THEN '.go' ELSE concat('m', c_custkey % 50, '.py') END AS dst_file, c_mktsegment AS note, CAST(c_custkey % 97 AS BIGINT) AS created_at FROM {customer}""",
     "docs": """SELECT 'r0' AS repo_id, concat('lib', p_size % 9, '/', lower(p_type), p_partkey % 13, '.go') AS file_path, concat(replace(p_name, ' ', '_'), '_', lower(p_type)) AS name, 'function' AS type,
         CAST(p_partkey AS INT) AS start_line, CAST(p_partkey + 3 AS INT) AS end_line, replace(p_brand, '#', '') AS parent, concat(p_name, ' ', CASE WHEN p_size % 3 = 0 THEN 'metal ring' ELSE 'gear' END) AS body_tokens, p_partkey AS symbol_id FROM {part}""",
+    "sources": """SELECT 'r0' AS repo_id, concat('lib', p_size % 5, '/m', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.go' END) AS path, CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'go' END AS language, p_partkey, p_size,
+        concat(replace(p_name, ' ', '_'), p_size) AS fn, concat('call_', p_partkey % 50) AS callee, lower(p_type) AS module,
+        CASE WHEN p_partkey % 2 = 0
+        THEN concat('import ', lower(p_type), chr(10), 'class C', p_size, ':', chr(10), '    def ', replace(p_name, ' ', '_'), p_size, '(self):', chr(10), '        return self.call_', p_partkey % 50, '(1)', chr(10), 'late()', chr(10))
+        ELSE concat('package p', chr(10), 'import "', lower(p_type), '"', chr(10), 'type C', p_size, ' struct ', chr(123), chr(10), chr(125), chr(10), 'func ', replace(p_name, ' ', '_'), p_size, '() ', chr(123), chr(10), '  call_', p_partkey % 50, '()', chr(10), chr(125), chr(10)) END AS content FROM {part}""",
     "stored": """SELECT 'r0' AS repo_id, concat('u', user_id, '.py') AS path, date_trunc('second', max(ts)) AS mtime, CAST(count(*) AS BIGINT) AS size, 'x' AS sha256
         FROM {events} WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND user_id % 10 <> 3 GROUP BY user_id""",
     "listed": """SELECT 'r0' AS repo_id, concat('u', user_id, '.py') AS path, date_trunc('second', max(ts)) AS mtime, CAST(count(*) AS BIGINT) AS size
@@ -408,6 +413,35 @@ def symbol_body_slice(documents):
     return rows.filter("body <> ''")
 
 
+def extracted(sources: DataFrame, table: str) -> DataFrame:
+    """A relation of the sources, by way of the parsers."""
+    files = sources.select("repo_id", "path", "language", F.col("content").cast("binary").alias("content"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("timestamp").alias("mtime"), F.length("content").cast("long").alias("size"))
+    return ingest.relations(ingest.parsed(files))[table]
+
+
+@query(
+    """SELECT path AS file_path, concat('C', p_size) AS name, 'class' AS type, CAST(CASE language WHEN 'go' THEN 3 ELSE 2 END AS INT) AS start_line, CAST(4 AS INT) AS end_line, '' AS parent FROM {sources}
+    UNION ALL SELECT path, fn, CASE language WHEN 'go' THEN 'function' ELSE 'method' END, CASE language WHEN 'go' THEN 5 ELSE 3 END, CASE language WHEN 'go' THEN 7 ELSE 4 END, CASE language WHEN 'go' THEN '' ELSE concat('C', p_size) END FROM {sources}""",
+    "sources",
+)
+def extract_symbols(sources):
+    return extracted(sources, "symbols").select("file_path", "name", "type", "start_line", "end_line", "parent")
+
+
+@query(
+    """SELECT path AS caller_file, fn AS caller_name, callee AS callee_name, CAST(CASE language WHEN 'go' THEN 6 ELSE 4 END AS INT) AS line FROM {sources}
+    UNION ALL SELECT path, '', 'late', 5 FROM {sources} WHERE language = 'python'""",
+    "sources",
+)
+def extract_refs(sources):
+    return extracted(sources, "refs").select("caller_file", "caller_name", "callee_name", "line")
+
+
+@query("SELECT path AS file_path, module AS import_path, '' AS alias, CAST(CASE language WHEN 'go' THEN 2 ELSE 1 END AS INT) AS line FROM {sources}", "sources")
+def extract_imports(sources):
+    return extracted(sources, "imports").select("file_path", "import_path", "alias", "line")
+
+
 # Impact: the walk starts at the name with most references in repository r0.
 DEPTH = 3
 LINKED = """SELECT CAST(1 AS BIGINT) AS id, 'r0' AS src_repo_id, max(callee_name) AS src_symbol, 'r1' AS dst_repo_id, 'hot_gear_3' AS dst_symbol, 'remote.go' AS dst_file FROM refs WHERE repo_id = 'r0' AND callee_name = (SELECT symbol FROM start)"""

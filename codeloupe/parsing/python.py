@@ -7,7 +7,7 @@ import io
 import tokenize
 
 from codeloupe.functions.text import literal_words
-from codeloupe.parsing.registry import Parsed, Symbol, register
+from codeloupe.parsing.registry import Parsed, Symbol
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -57,6 +57,3 @@ def parse(text: str) -> Parsed:
             found.imports.append(("." * n.level + (n.module or ""), "", n.lineno))
     found.calls = sorted(calls, key=lambda c: c[1]) + sorted(values, key=lambda c: c[1])
     return found
-
-
-register("python", parse)

@@ -82,26 +82,40 @@ def unique_imports(found: list[tuple[str, str, int]]) -> list[tuple[str, str, in
     return [(path, alias, line) for (line, path), alias in sorted(kept.items(), key=lambda x: x[0][0])]
 
 
+def parsers() -> dict[str, Callable[[str], Parsed]]:
+    """All parsers, the library's own among them."""
+    from codeloupe.parsing import python, scanner
+
+    for language, parser in {"python": python.parse, **scanner.PARSERS}.items():
+        PARSERS.setdefault(language, parser)
+    return PARSERS
+
+
 def parse(language: str, text: str) -> Parsed:
     """The parser's result for a text of a language, with parents and distinct imports."""
-    if not PARSERS:
-        from codeloupe.parsing import python, scanner  # noqa: F401 (they register themselves)
-    found = PARSERS[language](text)
+    return finished(parsers()[language](text))
+
+
+def finished(found: Parsed) -> Parsed:
     found.symbols = with_parents(found.symbols)
     found.imports = unique_imports(found.imports)
     return found
 
 
 def parser_udf():
-    """A column function of path, language and content that gives a ``PARSED`` struct; an error is a value."""
+    """A column function of path, language and content that gives a ``PARSED`` struct; an error is a value.
+
+    The parsers registered by now travel with it.
+    """
+    known = dict(parsers())
 
-    @F.udf(PARSED)
+    @F.udf(PARSED, useArrow=False)
     def parse_file(path: str, language: str, content: bytes):
         try:
-            found = parse(language, bytes(content).decode("utf-8", "replace"))
+            found = finished(known[language](bytes(content).decode("utf-8", "replace")))
         except Exception as error:  # one bad file must not end the run
             return [], [], [], f"{type(error).__name__}: {error}"
         symbols = [(k, s.name, s.type, s.start_line, s.end_line, s.parent, sorted(set(s.tokens))) for k, s in enumerate(found.symbols)]
         return symbols, [(k, name, line) for k, (name, line) in enumerate(found.calls)], found.imports, None
 
-    return parse_file
+    return parse_file.asNondeterministic()  # else filters on its result would run it again

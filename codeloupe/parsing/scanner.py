@@ -13,7 +13,7 @@ from bisect import bisect_right
 from dataclasses import dataclass
 
 from codeloupe.functions.text import literal_words
-from codeloupe.parsing.registry import Parsed, Symbol, register
+from codeloupe.parsing.registry import Parsed, Symbol
 
 COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 STRINGS = {
@@ -633,5 +633,4 @@ class Swift(Scan):
         return self.skip(i)
 
 
-for scan, name in ((Go, "go"), (JavaScript, "javascript"), (TypeScript, "typescript"), (Tsx, "tsx"), (CSharp, "csharp"), (Rust, "rust"), (Swift, "swift")):
-    register(name, lambda text, scan=scan: scan(text).run())
+PARSERS = {scan.language: (lambda text, scan=scan: scan(text).run()) for scan in (Go, JavaScript, TypeScript, Tsx, CSharp, Rust, Swift)}
