@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloupe.checkpoints import checkpointed
 from codeloupe.model import BEHAVIOR, COMPILE, CONTRACT, CROSS, DIRECT, INDIRECT
 
 FILE_SCOPE = "<file scope>"
+#: Nodes of a frontier that are counted and then broadcast; a larger one is shuffled.
+BROADCAST_NODES = 10_000
 
 
 def callers_recursive(refs: DataFrame, callee: str, max_depth: int = 2, max_rows: int = 1_000_000) -> DataFrame:
@@ -71,27 +73,32 @@ def expand(frontier: DataFrame, symbols: DataFrame, refs: DataFrame, links: Data
     s = symbols.select(F.col("repo_id").alias("s_repo"), F.col("name").alias("s_name"), F.col("file_path").alias("s_file"), F.col("start_line").alias("s_line"))
     node = ["repo", "symbol", "file", "line", "distance", "pos", "evidence"]
 
-    def edges(df: DataFrame, kind: str, relation: str, reason, breaks: str, caller_hop: bool, cross: bool, link_id=None, note=None) -> DataFrame:
+    def edges(df: DataFrame, kind: Column, relation: Column, reason: Column, breaks: Column, caller_hop: Column, cross: Column, link_id: Column, note: Column) -> DataFrame:
         return df.select(
-            *node, "t_symbol", "t_file", "t_repo", "t_line", "call_line", "open", reason.alias("reason"), F.lit(breaks).alias("break_type"), F.lit(caller_hop).alias("caller_hop"), F.lit(cross).alias("cross_repo"),
-            F.lit(kind).alias("edge"), F.lit(relation).alias("relation"), (link_id if link_id is not None else F.lit(None)).cast("long").alias("link_id"), (note if note is not None else F.lit(None)).cast("string").alias("note"),
+            *node, "t_symbol", "t_file", "t_repo", "t_line", "call_line", "open", reason.alias("reason"), breaks.alias("break_type"), caller_hop.alias("caller_hop"), cross.alias("cross_repo"),
+            kind.alias("edge"), relation.alias("relation"), link_id.cast("long").alias("link_id"), note.cast("string").alias("note"),
         )
 
     up = frontier.join(refs, (refs["repo_id"] == frontier["repo"]) & (refs["callee_name"] == frontier["symbol"]))
     up = up.select(*(frontier[c] for c in node), F.when(F.col("caller_name") == "", FILE_SCOPE).otherwise(F.col("caller_name")).alias("t_symbol"), F.col("caller_file").alias("t_file"), frontier["repo"].alias("t_repo"), refs["line"].alias("t_line"), refs["line"].alias("call_line"), (F.col("caller_name") != "").alias("open"))
-    found = edges(up, "call_edge", "upstream_caller", F.when(F.col("distance") == 0, DIRECT).otherwise(INDIRECT), COMPILE, True, False)
+    found = edges(up, F.lit("call_edge"), F.lit("upstream_caller"), F.when(F.col("distance") == 0, DIRECT).otherwise(INDIRECT), F.lit(COMPILE), F.lit(True), F.lit(False), F.lit(None), F.lit(None))
 
+    # Callees and linked symbols are names that stand for all their symbols: one join resolves both.
     down = frontier.join(refs, (refs["repo_id"] == frontier["repo"]) & (refs["caller_name"] == frontier["symbol"]))
-    down = down.select(*(frontier[c] for c in node), refs["callee_name"], refs["caller_file"], refs["line"].alias("call_line"))
-    down = down.join(s, (F.col("s_repo") == F.col("repo")) & (F.col("s_name") == F.col("callee_name")), "left")
-    down = down.select(*node, F.col("callee_name").alias("t_symbol"), F.coalesce("s_file", "caller_file").alias("t_file"), F.col("repo").alias("t_repo"), F.coalesce("s_line", "call_line").alias("t_line"), "call_line", (F.col("callee_name") != "").alias("open"))
-    found = found.unionByName(edges(down, "call_edge", "downstream_callee", F.lit(INDIRECT), BEHAVIOR, False, False))
-
+    named = down.select(
+        *(frontier[c] for c in node), refs["callee_name"].alias("t_symbol"), frontier["repo"].alias("t_repo"), refs["caller_file"].alias("else_file"), refs["line"].alias("else_line"), refs["line"].alias("call_line"),
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("l_note"), F.lit(False).alias("across"),
+    )
     if links is not None:
-        across = frontier.join(links.select("id", "src_repo_id", "src_symbol", "dst_repo_id", "dst_symbol", "dst_file", F.col("note").alias("l_note")), (F.col("src_repo_id") == F.col("repo")) & (F.col("src_symbol") == F.col("symbol")))
-        across = across.join(s, (F.col("s_repo") == F.col("dst_repo_id")) & (F.col("s_name") == F.col("dst_symbol")), "left")
-        across = across.select(*node, "id", "l_note", F.col("dst_symbol").alias("t_symbol"), F.coalesce("s_file", "dst_file").alias("t_file"), F.col("dst_repo_id").alias("t_repo"), F.coalesce("s_line", F.lit(0)).alias("t_line"), F.lit(None).cast("int").alias("call_line"), (F.col("dst_symbol") != "").alias("open"))
-        found = found.unionByName(edges(across, "workspace_link", "workspace_link", F.lit(CROSS), CONTRACT, False, True, F.col("id"), F.col("l_note")))
+        known = links.select("id", "src_repo_id", "src_symbol", "dst_repo_id", "dst_symbol", "dst_file", F.col("note").alias("l_note"))
+        linked = frontier.join(known, (F.col("src_repo_id") == F.col("repo")) & (F.col("src_symbol") == F.col("symbol")))
+        named = named.unionByName(linked.select(*node, F.col("dst_symbol").alias("t_symbol"), F.col("dst_repo_id").alias("t_repo"), F.col("dst_file").alias("else_file"), F.lit(0).alias("else_line"), F.lit(None).cast("int").alias("call_line"), "id", "l_note", F.lit(True).alias("across")))
+    named = named.join(s, (F.col("s_repo") == F.col("t_repo")) & (F.col("s_name") == F.col("t_symbol")), "left")
+    named = named.select(*node, "id", "l_note", "across", "t_symbol", F.coalesce("s_file", "else_file").alias("t_file"), "t_repo", F.coalesce("s_line", "else_line").alias("t_line"), "call_line", (F.col("t_symbol") != "").alias("open"))
+    pick = lambda here, there: F.when(F.col("across"), here).otherwise(there)
+    found = found.unionByName(
+        edges(named, pick("workspace_link", "call_edge"), pick("workspace_link", "downstream_callee"), pick(CROSS, INDIRECT), pick(CONTRACT, BEHAVIOR), F.lit(False), F.col("across"), F.col("id"), F.col("l_note"))
+    )
 
     step = F.struct(F.col("t_repo").alias("repo"), F.col("t_file").alias("file"), F.col("t_symbol").alias("symbol"), F.col("t_line").cast("int").alias("line"), F.col("reason").alias("reason"))
     proof = F.struct(
@@ -116,9 +123,9 @@ def propagate(symbols: DataFrame, refs: DataFrame, start: dict, max_depth: int =
     seed = (start["repo"], start["symbol"], start["file"], start["line"], 0, [], [])
     frontier = checkpointed(spark.createDataFrame([seed], NODE))
     visited = frontier.select("repo", "symbol")
-    every, depth = None, 0
+    every, depth, nodes = None, 0, 1
     while True:
-        step = checkpointed(expand(frontier, symbols, refs, links))
+        step = checkpointed(expand(F.broadcast(frontier) if nodes <= BROADCAST_NODES else frontier, symbols, refs, links))
         every = step if every is None else every.unionByName(step)
         depth += 1
         if max_depth and depth >= max_depth:
@@ -126,7 +133,8 @@ def propagate(symbols: DataFrame, refs: DataFrame, start: dict, max_depth: int =
         reached = step.filter("open").groupBy(F.col("t_repo").alias("repo"), F.col("t_symbol").alias("symbol")).agg(F.min_by(F.struct("t_file", "t_line", "distance", "pos", "evidence"), "pos").alias("n"))
         fresh = reached.join(visited, ["repo", "symbol"], "left_anti")
         frontier = checkpointed(fresh.select("repo", "symbol", F.col("n.t_file").alias("file"), F.col("n.t_line").alias("line"), F.col("n.distance").alias("distance"), F.col("n.pos").alias("pos"), F.col("n.evidence").alias("evidence")))
-        if not frontier.take(1):
+        nodes = frontier.count()
+        if not nodes:
             return every
         visited = checkpointed(visited.unionByName(frontier.select("repo", "symbol")))
 
