@@ -33,7 +33,7 @@ RELATIONS = {
     "spans": """SELECT repo_id, file_path, name, type, start_line, CAST(start_line + CASE type WHEN 'class' THEN 65 WHEN 'function' THEN 25 ELSE 5 END AS INT) AS end_line,
         CAST(row_number() OVER (PARTITION BY file_path ORDER BY start_line, type, name) AS INT) AS ord FROM {symbols}""",
     "refs": """SELECT a.repo_id, a.file_path AS caller_file, CASE WHEN a.l_linenumber % 5 = 0 THEN '' ELSE a.name END AS caller_name, b.name AS callee_name, CAST(a.start_line + 2 AS INT) AS line
-        FROM {rows} a JOIN {rows} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE (a.l_orderkey + a.l_linenumber) % 9 = 0""",
+        FROM {rows} a JOIN {rows} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""",
     "imports": """SELECT concat('r', page_id % 3) AS repo_id, url AS file_path, module AS import_path, '' AS alias, CAST(page_id AS INT) AS line FROM {hrefs}""",
     "links": """SELECT CAST(c_custkey AS BIGINT) AS id, concat('r', c_custkey % 3) AS src_repo_id, concat('hot_gear_', c_custkey % 400) AS src_symbol, concat('pkg', c_custkey % 7, '/x.go') AS src_file,
         concat('r', (c_custkey + 1) % 3) AS dst_repo_id, concat('red_widget_', c_custkey % 100) AS dst_symbol,
