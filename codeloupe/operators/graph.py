@@ -13,12 +13,12 @@ FILE_SCOPE = "<file scope>"
 BROADCAST_NODES = 10_000
 
 
-def callers_recursive(refs: DataFrame, callee: str, max_depth: int = 2, max_rows: int = 1_000_000) -> DataFrame:
+def callers_recursive(refs: DataFrame, callee: str, max_depth: int = 2) -> DataFrame:
     """All simple paths upward from a name: ``caller_name, caller_file, line, depth, path, cycle``.
 
     ``path`` names what lies between the row and the root, the root first. A caller that is already
     on its path ends it with ``cycle``; file scope ('') ends it too. Depth 0 is unlimited; there may
-    be exponentially many paths, so more than ``max_rows`` rows of a level are an error.
+    be exponentially many paths. Each level is written to the checkpoint folder, none is collected.
     """
     if not callee:
         raise ValueError("a callee name is needed")
@@ -27,11 +27,8 @@ def callers_recursive(refs: DataFrame, callee: str, max_depth: int = 2, max_rows
     found, depth = None, 1
     while True:
         level = checkpointed(level)
-        n = level.count()
-        if n > max_rows:
-            raise RuntimeError(f"more than {max_rows} paths of {depth} calls; set a depth")
         found = level if found is None else found.unionByName(level)
-        if not n or max_depth and depth >= max_depth:
+        if max_depth and depth >= max_depth or level.isEmpty():
             break
         open_ends = level.filter((F.col("caller_name") != "") & ~F.col("cycle")).select(F.col("caller_name").alias("callee_name"), F.concat("path", F.array("caller_name")).alias("path"), "depth")
         level = open_ends.join(edges, "callee_name").select("caller_name", "caller_file", "line", (F.col("depth") + 1).alias("depth"), "path", F.array_contains("path", F.col("caller_name")).alias("cycle"))
