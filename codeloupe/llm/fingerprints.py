@@ -42,12 +42,10 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def syncmers(text: bytes) -> np.ndarray:
-    """32-bit hashes of a text's closed syncmers in order; a text of under ``SHORT_K`` bytes is one anchor, '' none."""
+    """32-bit hashes of a text's closed syncmers in order; a text without any (as under ``SHORT_K`` bytes) is one anchor, '' none."""
     if not text:
         return np.zeros(0, np.uint32)
     k, s = (K, S) if len(text) >= SHORT else (SHORT_K, SHORT_S)
-    if len(text) < k:
-        return np.frombuffer(hashlib.blake2b(text, digest_size=4).digest(), np.uint32)
     found = []
     for at in range(0, len(text) - k + 1, BLOCK):
         data = np.frombuffer(text[at : at + BLOCK + k - 1], np.uint8)
@@ -65,6 +63,8 @@ def syncmers(text: bytes) -> np.ndarray:
         if k < 16:
             low, high = low & np.uint64((1 << 8 * min(k, 8)) - 1), high & np.uint64((1 << 8 * max(k - 8, 0)) - 1)
         found.append((mixed(mixed(low) + high) >> np.uint64(32)).astype(np.uint32))
+    if not any(map(len, found)):
+        return np.frombuffer(hashlib.blake2b(text, digest_size=4).digest(), np.uint32)
     return np.concatenate(found)
 
 

@@ -1,0 +1,8 @@
+from codeloupe.llm import fingerprints as m
+
+
+def test_every_text_but_the_empty_one_has_anchors():
+    words = [b"monday", b"london", b"school", b"orange", b"Edrere.", "École".encode(), b"a", b"abcde", *(b"%06d" % i for i in range(500)), *(b"%07d" % i for i in range(500))]
+    assert all(len(m.sketch(w)) for w in words) and not len(m.sketch(b""))
+    assert m.likeness(m.sketch(b"monday"), m.sketch(b"london")) == 0 == m.likeness(m.sketch(b"monday"), m.sketch(b""))
+    assert m.likeness(m.sketch(b"monday"), m.sketch(b"monday")) == 1
