@@ -3,7 +3,8 @@
 A k-mer of a text's UTF-8 bytes is a closed syncmer if the smallest of its s-mers, by hash, is its
 first or its last one. That depends on the k-mer alone, so the same passage gives the same anchors
 wherever it stands. A fingerprint holds the anchors with the smallest hashes in the order of their
-places; two are compared by the longest run of common anchors in the same order.
+places; two are compared by the longest run of common anchors in the same order. Texts of fewer
+than ``SHORT`` bytes have finer anchors; a longer one is compared with them by its own finer ones.
 """
 
 from __future__ import annotations
@@ -41,11 +42,20 @@ def grams(data: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(eights).view("<u8").ravel() & np.uint64((1 << 8 * size) - 1)
 
 
-def syncmers(text: bytes) -> np.ndarray:
-    """32-bit hashes of a text's closed syncmers in order; a text without any (as under ``SHORT_K`` bytes) is one anchor, '' none."""
+class Sketch(np.ndarray):
+    """A fingerprint as numbers that knows its text, for anchors of the other size; parts of it don't."""
+
+    text: bytes | None = None
+
+
+def syncmers(text: bytes, fine: bool = False) -> np.ndarray:
+    """32-bit hashes of a text's closed syncmers in order; a text without any (as under ``SHORT_K`` bytes) is one anchor, '' none.
+
+    ``fine``: those of short texts, whatever the length.
+    """
     if not text:
         return np.zeros(0, np.uint32)
-    k, s = (K, S) if len(text) >= SHORT else (SHORT_K, SHORT_S)
+    k, s = (SHORT_K, SHORT_S) if fine or len(text) < SHORT else (K, S)
     found = []
     for at in range(0, len(text) - k + 1, BLOCK):
         data = np.frombuffer(text[at : at + BLOCK + k - 1], np.uint8)
@@ -68,11 +78,13 @@ def syncmers(text: bytes) -> np.ndarray:
     return np.concatenate(found)
 
 
-def sketch(text: bytes) -> np.ndarray:
+def sketch(text: bytes, fine: bool = False) -> Sketch:
     """The fingerprint as numbers: the distinct anchors of the smallest hashes by their first places."""
-    hashes, first = np.unique(syncmers(text), return_index=True)
+    hashes, first = np.unique(syncmers(text, fine), return_index=True)
     hashes, first = hashes[:ANCHORS], first[:ANCHORS]
-    return hashes[np.argsort(first)]
+    found = hashes[np.argsort(first)].view(Sketch)
+    found.text = text
+    return found
 
 
 def shown(anchors: np.ndarray) -> str:
@@ -83,9 +95,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """From 0 to 1: anchors in the longest common run of the same order, over all anchors of both.
 
     Only the smallest hashes of both count, as many as both sketches tell of. Two empty ones are alike.
+    Of a short and a longer text, the finer anchors of both are compared.
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    texts = [getattr(x, "text", None) for x in (a, b)]
+    if None not in texts and (len(texts[0]) < SHORT) != (len(texts[1]) < SHORT):
+        a, b = (sketch(t, fine=True) for t in texts)
+    a, b = np.asarray(a), np.asarray(b)
     both = np.unique(np.concatenate([a, b]))[: max(len(a), len(b)) if min(len(a), len(b)) < ANCHORS else ANCHORS]
     if len(a) < ANCHORS and len(b) < ANCHORS:
         both = np.unique(np.concatenate([a, b]))  # both are complete

@@ -6,3 +6,19 @@ def test_every_text_but_the_empty_one_has_anchors():
     assert all(len(m.sketch(w)) for w in words) and not len(m.sketch(b""))
     assert m.likeness(m.sketch(b"monday"), m.sketch(b"london")) == 0 == m.likeness(m.sketch(b"monday"), m.sketch(b""))
     assert m.likeness(m.sketch(b"monday"), m.sketch(b"monday")) == 1
+
+
+def test_likeness_across_the_lengths_of_short_and_long_texts():
+    text = "amber basin copper delta ember fjord garnet harbor island jasper kelp lagoon"
+    short, long = text[: m.SHORT - 1].encode(), text[: m.SHORT + 1].encode()
+    a, b = m.sketch(short), m.sketch(long)
+    assert m.likeness(a, b) == m.likeness(b, a) > 0.8
+    assert m.likeness(m.sketch(b"zwei drei vier"), b) == 0 == m.likeness(m.sketch(b""), b)
+    inside = set(m.syncmers(short).tolist())
+    assert inside <= set(m.syncmers(b"yonder zephyr " + short + b" willow yonder zephyr", fine=True).tolist())
+
+
+def test_near_copies_of_neighbours_across_that_length(docs):
+    text = "amber basin copper delta ember fjord garnet harbor island jasper kelp lagoon"
+    rows = m.compare(docs([(1, text[: m.SHORT - 1]), (2, text[: m.SHORT])])).collect()
+    assert all(r["near_next"] > 0.8 for r in rows) and len(rows) == 2
