@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from codeloupe.llm.common import columns, map_texts
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-HINT = re.compile(r"\b(class|id|role|hidden|aria-hidden|aria-label|itemprop|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: An attribute and its value, so that no value is read as names.
+HINT = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title xmp noembed noframes".split())
 CHROME = frozenset("nav footer aside form button select option dialog menu head label fieldset".split())
@@ -34,10 +35,10 @@ SCOPE = frozenset("html body div article section main table ul ol dl td th aside
 NO_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of class names, ids and roles that name chrome, and those that name content.
 BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|outbrain|taboola|cookies?|consent|gdpr|notice\w*|alert\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?|site-?foot\w*|"
-    r"masthead|topbar|toolbar|header-?\w*|site-?head\w*|side-?bar\w*|side|rail|widget\w*|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|social|share\w*|sharing|related\w*|recommend\w*|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|outbrain|taboola|cookies?|consent|gdpr|notices?|alert\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?|site-?foot\w*|"
+    r"masthead|topbar|toolbar|headers?|site-?head\w*|side-?bar\w*|side|rail|widget\w*|comment\w*|disqus\w*|repl(?:y|ies)|respond|discussion|social|share\w*|sharing|related\w*|recommend\w*|"
     r"subscribe\w*|newsletter|signup|sign-?up|login|log-?in|register|search\w*|popup|modal|overlay|paywall|pagination|pager|legal|disclaimer|copyright|complementary|contentinfo|navigation|"
-    r"skip\w*|hidden|sr-only|visually-hidden|most-?read|trending|tags?|tag-?list|form\w*)(?=$|[\s_-])",
+    r"skip\w*|hidden|sr-only|visually-hidden|most-?read|trending|tags?|tag-?list|forms?)(?=$|[\s_-])",
     re.I,
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main\w*|post|story|text|hentry|page)(?=$|[\s_-])", re.I)
@@ -62,7 +63,7 @@ def hints(name: str, attributes: str) -> tuple[float, bool]:
     bad = name in CHROME
     for m in HINT.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" and not attributes[m.start() - 1 : m.start()].strip() and attributes[m.end() :][:1] != "-" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
             bad = True
         elif key in ("class", "id", "role"):
             if key == "role" and value in ("main", "article") or GOOD.search(value):
