@@ -5,19 +5,27 @@ Every paragraph passes points for its length and its commas to its ancestors: al
 parent, half to the grandparent, less to those above. An element's points are discounted by its
 link density; the best container and those of its siblings that score well too, or read like
 paragraphs, are kept.
+
+Everything is a loop over the tree's nodes and takes time in proportion to the page, however deep,
+crossed or broken off its tags are.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeloupe.llm.common import columns, map_texts
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: The last group is empty, before the page's end, where a quote of the attributes never closes.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|)", re.S)
+#: For the rest of such a page: a tag ends at its first ``>``.
+LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(>|)", re.S)
 #: An attribute and its value, so that no value is read as names.
 HINT = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,10 +36,15 @@ BLOCK = frozenset(
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd dt td th figcaption caption summary".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEVELS = tuple("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset(LEVELS)
 #: A start tag of the key ends an open element of the values (within the nearest of SCOPE).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "thead": ("caption",)}
 SCOPE = frozenset("html body div article section main table ul ol dl td th aside nav header footer form blockquote".split())
+#: No end tag of an inline or text element closes these.
+WALLS = frozenset("article main td section".split())
+#: What stands between a table's parts and the table itself.
+CELLS = frozenset(("td", "th"))
 NO_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of class names, ids and roles that name chrome, and those that name content.
 BAD = re.compile(
@@ -43,16 +56,88 @@ BAD = re.compile(
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main\w*|post|story|text|hentry|page)(?=$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: All that a start tag may close, by its name.
+ENDS = {name: CLOSES.get(name, ()) + (("p",) if name in NO_P else ()) + (LEVELS if name in HEADINGS else ()) for name in {*CLOSES, *NO_P}}
+#: Headings over what readers wrote.
+REMARKS = re.compile(
+    r"(?:\(?\d+\)?\s*)?(?:(?:reader|user|visitor|latest|recent|all)s?['’]?\s+)?(?:comments?|replies|responses|discussion|kommentare?|leserkommentare|commentaires?|comentarios?)(?:\s+(?:section|below))?\s*(?:\(\s*\d+\s*\)|\d+)?\s*:?|"
+    r"(?:leave|post|write|add|join|submit)\s+(?:a|your|the)\s+(?:comment|reply|response|conversation|discussion)s?\b.{0,20}|(?:schreiben sie|hinterlasse[n]?)\b.{0,30}|laisser un commentaire|deja un comentario",
+    re.I | re.S,
+)
+#: A character reference with so many digits that none is meant.
+NUMBER = re.compile(r"&#([0-9]{9,})(;?)")
 
 
 class Node:
-    __slots__ = ("bad", "links", "name", "parts", "points", "size", "up", "weight")
+    __slots__ = ("bad", "commas", "headed", "length", "links", "name", "parts", "points", "size", "up", "weight")
 
     def __init__(self, name: str, up: Node | None, weight: float = 0.0, bad: bool = False):
         self.name, self.up, self.weight, self.bad = name, up, weight, bad
         self.parts: list = []
         self.points = 0.0
-        self.size = self.links = 0
+        self.size = self.links = self.length = self.commas = 0
+        self.headed = False
+
+
+class Open:
+    """The open elements, outermost first, and the depths at which their names stand.
+
+    What an end or a start tag closes is read off the last depth of a name (or the first one within
+    a scope), so a tag costs the same at any depth.
+    """
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+        self.tables: list[int] = []  # scopes without cells
+        self.walls: list[int] = []
+
+    def push(self, node: Node) -> None:
+        name, depth = node.name, len(self.nodes)
+        self.depths[name].append(depth)
+        if name in SCOPE:
+            self.scopes.append(depth)
+            if name not in CELLS:
+                self.tables.append(depth)
+            if name in WALLS:
+                self.walls.append(depth)
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes the elements from this depth on."""
+        nodes = self.nodes
+        while len(nodes) > depth:
+            name = nodes.pop().name
+            self.depths[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+                if name not in CELLS:
+                    self.tables.pop()
+                if name in WALLS:
+                    self.walls.pop()
+
+    def nearest(self, name: str) -> int:
+        """The depth of the innermost open element of a name; 0: none."""
+        found = self.depths.get(name)
+        return found[-1] if found else 0
+
+    def ended(self, name: str) -> int:
+        """The depth of the element that an end tag closes; 0: none, it is left over."""
+        depth = self.nearest(name)
+        return 0 if name not in SCOPE and self.walls and self.walls[-1] > depth else depth
+
+    def pushed_out(self, name: str) -> int:
+        """The depth of the element that a start tag closes; 0: none."""
+        ends = ENDS.get(name)
+        if not ends:
+            return 0
+        scopes = self.tables if name in ("td", "th", "tr", "tbody", "tfoot") else self.scopes
+        floor = scopes[-1] if scopes else 0
+        if name in ("tr", "tbody", "tfoot"):  # these close the outermost row or part of their table
+            return min((depths[k] for e in ends if (depths := self.depths.get(e)) and (k := bisect_right(depths, floor)) < len(depths)), default=0)
+        depth = max(map(self.nearest, ends))
+        return depth if depth > floor else 0
 
 
 def hints(name: str, attributes: str) -> tuple[float, bool]:
@@ -77,95 +162,122 @@ def hints(name: str, attributes: str) -> tuple[float, bool]:
     return weight, bad
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; end tags may be missing, crossed or left over, and the page may break off."""
-    root = at = Node("html", None)
-    where, size = 0, len(page)
+def parse(page: str) -> list[Node]:
+    """The nodes of a page's tree, each behind its parent, the root first.
+
+    End tags may be missing, crossed or left over, and the page may break off.
+    """
+    root = Node("html", None)
+    nodes, open_ = [root], Open(root)
+    where, size, tag = 0, len(page), TAG
+    endless: set[str] = set()  # raw elements that have no end tag from here on
     while where < size:
-        m = TAG.search(page, where)
+        m = tag.search(page, where)
+        at = open_.nodes[-1]
         if m is None:
             at.parts.append(page[where:])
             break
         if m.start() > where:
             at.parts.append(page[where : m.start()])
-        where = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
                 at.parts.append(m[0][9:].removesuffix("]]>"))
+            where = m.end()
             continue
-        name = m[2].lower()
+        if not m[4] and m.end() < size:  # a quote that never closes: only one such search is made
+            tag = LOOSE
+            m = tag.match(page, m.start())
+        where, name = m.end(), m[2].lower()
         if m[1]:
-            node = at
-            while node is not None and node.name != name:
-                if node.name in ("article", "main", "body", "td", "section") and name not in SCOPE:
-                    node = None  # a left-over end tag of inline or text elements ends no container
-                    break
-                node = node.up
-            if node is not None and node.up is not None:
-                at = node.up
+            if depth := open_.ended(name):
+                open_.cut(depth)
             elif name == "p":
-                at.parts.append(Node("br", at))
+                nodes.append(Node("br", at))
+                at.parts.append(nodes[-1])
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(page, where)
-            where = end.end() if end else size if name in ("script", "style", "textarea", "title") else where
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).search(page, where)
+            if end:
+                where = end.end()
+            elif name in ("script", "style", "textarea", "title"):
+                where = size
+            else:
+                endless.add(name)
             continue
         if name in ("html", "body"):
             continue
-        if name in NO_P or name in CLOSES:
-            ends = CLOSES.get(name, ()) + (("p",) if name in NO_P else ()) + (tuple(HEADINGS) if name in HEADINGS else ())
-            node = at
-            target = None
-            while node is not None and node.up is not None:
-                if node.name in ends:
-                    target = node
-                    if name not in ("tbody", "tfoot", "tr"):
-                        break
-                elif node.name in SCOPE and not (node.name in ("td", "th") and name in ("tr", "tbody", "tfoot")):
-                    break
-                node = node.up
-            if target is not None:
-                at = target.up
-        weight, bad = hints(name, m[3])
-        new = Node(name, at, weight, bad)
+        if depth := open_.pushed_out(name):
+            open_.cut(depth)
+            at = open_.nodes[-1]
+        new = Node(name, at, *hints(name, m[3]))
+        nodes.append(new)
         at.parts.append(new)
         if name not in VOID and not m[3].rstrip().endswith("/") or name in SCOPE:
-            at = new
-    return root
-
+            open_.push(new)
+    return nodes
 
-def holds_heading(node: Node) -> bool:
-    return any(isinstance(p, Node) and (p.name in HEADINGS or holds_heading(p)) for p in node.parts)
 
-
-def inside(node: Node | None) -> bool:
-    while node is not None:
-        if node.name in ("article", "main") or node.weight >= 25:
-            return True
-        node = node.up
-    return False
+def peek(node: Node, most: int = 80) -> str:
+    """The text of a node if that is short, with its white space collapsed; else ''."""
+    out, todo, seen, size = [], [node], 0, 0
+    while todo:
+        x = todo.pop()
+        seen += 1
+        if isinstance(x, Node):
+            todo += x.parts[::-1] if len(x.parts) <= most else ()
+            seen += len(x.parts)
+        else:
+            out.append(x)
+            size += len(x)
+        if size > 2 * most or seen > 2 * most:
+            return ""
+    text = " ".join(decoded("".join(out)).split())
+    return text if len(text) <= most else ""
+
+
+def without_remarks(node: Node) -> list:
+    """The parts of an element but for readers' comments: what a telling heading stands over.
+
+    If it is the first thing in a section, all of that goes; else it goes with all that follows up
+    to the next heading of its level or a higher one.
+    """
+    kept, level, first = [], 0, True
+    for p in node.parts:
+        if isinstance(p, Node) and (p.name in HEADINGS or p.name in ("header", "hgroup") and p.headed):
+            own = int(p.name[1]) if p.name in HEADINGS else 2
+            if level and own <= level:
+                level = 0
+            if not level and REMARKS.fullmatch(peek(p)):
+                if first and node.up is not None and node.weight < 25:
+                    return []
+                level = own
+        if not level:
+            kept.append(p)
+        first = first and (p.name in VOID if isinstance(p, Node) else not p.strip())
+    return kept
 
 
-def prune(root: Node) -> None:
-    """Takes chrome out of the tree. A header goes unless it stands in an article and holds its heading."""
-    todo = [root]
+def prune(nodes: list[Node]) -> None:
+    """Takes chrome and comments out of the tree. A header goes unless it stands in an article and holds its heading."""
+    for node in reversed(nodes):
+        if node.up is not None and (node.headed or node.name in HEADINGS):
+            node.up.headed = True
+    todo = [(nodes[0], False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
+        inside = inside or node.weight >= 25
         kept = []
-        for p in node.parts:
+        for p in without_remarks(node) if node.headed else node.parts:
             if isinstance(p, Node):
-                if p.name == "header":
-                    if not (inside(node) and holds_heading(p)):
-                        continue
-                elif p.bad:
+                if not (inside and p.headed) if p.name == "header" else p.bad:
                     continue
-                todo.append(p)
+                todo.append((p, inside))
             kept.append(p)
         node.parts = kept
 
 
 def measure(root: Node) -> list[Node]:
-    """Sets the sizes of texts and links below each node; the nodes, children first."""
+    """Sets sizes, lengths, commas and links of what is below each node; the nodes, children first."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -173,14 +285,18 @@ def measure(root: Node) -> list[Node]:
         todo += [p for p in node.parts if isinstance(p, Node)]
     order.reverse()
     for node in order:
+        size = links = length = commas = 0
         for p in node.parts:
             if isinstance(p, Node):
-                node.size += p.size
-                node.links += p.links
+                size += p.size
+                links += p.links
+                length += p.length
+                commas += p.commas
             else:
-                node.size += len(p.strip())
-        if node.name == "a":
-            node.links = node.size
+                size += len(p.strip())
+                length += len(p)
+                commas += p.count(",")
+        node.size, node.links, node.length, node.commas = size, size if node.name == "a" else links, length, commas
     return order
 
 
@@ -201,17 +317,23 @@ def own_text(node: Node) -> str:
 
 def score(order: list[Node]) -> None:
     for node in order:
-        direct = node.name in TEXTUAL or any(not isinstance(p, Node) and len(p.strip()) >= 25 for p in node.parts)
+        own = [p for p in node.parts if not isinstance(p, Node)]
+        direct = node.name in TEXTUAL or any(len(p.strip()) >= 25 for p in own)
         if not direct or node.size < 25 or node.name == "a":
             continue
-        text = own_text(node) if node.name in TEXTUAL else "".join(p for p in node.parts if not isinstance(p, Node))
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - density(node))
+        length, commas = (node.length, node.commas) if node.name in TEXTUAL else (sum(map(len, own)), sum(p.count(",") for p in own))
+        points = (1 + commas + min(length / 100, 3)) * (1 - density(node))
         up, level = (node.up, 0) if node.name in TEXTUAL or node.name not in BLOCK else (node, 0)
         while up is not None and level < 5:
             up.points += points / (1 if level == 0 else 2 if level == 1 else level * 3)
             up, level = up.up, level + 1
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; a number of any length does no harm."""
+    return html.unescape(NUMBER.sub(lambda m: f"&#{m[1].lstrip('0')[:9] or 0}{m[2]}", text))
+
+
 def blocks(node: Node) -> list[str]:
     """The texts of a subtree, a block each, references decoded and white space collapsed."""
     out: list[list[str]] = [[]]
@@ -227,7 +349,7 @@ def blocks(node: Node) -> list[str]:
             todo += x.parts[::-1]
         else:
             out[-1].append(x)
-    texts = (" ".join(html.unescape("".join(b)).split()) for b in out if b)
+    texts = (" ".join(decoded("".join(b)).split()) for b in out if b)
     return [t for t in texts if t]
 
 
@@ -235,8 +357,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by one newline; '' if there is none."""
     if not page:
         return ""
-    root = parse(page)
-    prune(root)
+    nodes = parse(page)
+    prune(nodes)
+    root = nodes[0]
     order = measure(root)
     score(order)
     candidates = [n for n in order if n.points > 0 and (n.name in BLOCK or n.up is None)]
@@ -270,10 +393,16 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages``: ``page_id, url, text, n_chars``. Null and empty pages have the text ''."""
+    """Per row of ``pages``: ``page_id, url, text, n_chars``.
+
+    Null and empty pages, and those without any text, have the text ''. Rows are judged one by one:
+    repeated rows and ties of ``page_id`` give repeated results, an empty table gives none, and other
+    columns are not read, whatever their names. A page of any length or depth takes time and memory
+    in proportion to it; bytes that are no UTF-8 count as U+FFFD.
+    """
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> dict:
-        found = [main_text(t.decode()) for t in texts]
+        found = [main_text(t.decode("utf-8", "replace")) for t in texts]
         return {"page_id": part.column(0), "url": part.column(1), "text": found, "n_chars": [len(t) for t in found]}
 
     return map_texts(columns(pages, page_id="long", url="string", html="string"), "html", "page_id long, url string, text string, n_chars long", work)
