@@ -2,9 +2,11 @@
 
 A k-mer of a text's UTF-8 bytes is a closed syncmer if the smallest of its s-mers, by hash, is its
 first or its last one. That depends on the k-mer alone, so the same passage gives the same anchors
-wherever it stands. A fingerprint holds the anchors with the smallest hashes in the order of their
-places; two are compared by the longest run of common anchors in the same order. Texts of fewer
-than ``SHORT`` bytes have finer anchors; a longer one is compared with them by its own finer ones.
+wherever it stands. A text is read behind a margin of ``K - 1`` zero bytes, so that texts of any
+length, also shorter than ``K``, have anchors by one rule. A fingerprint holds all anchors in the
+order of their places, nothing is left out: about ``2 / (K - S + 2)`` anchors a byte, and every byte
+of the text is in one at least. Two fingerprints are compared by their longest common run of anchors
+in the same order.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from codeloupe.llm.common import columns, partitions, slices
 
 K, S = 16, 6
-#: Texts of fewer bytes have finer anchors.
-SHORT, SHORT_K, SHORT_S = 64, 6, 3
-#: Anchors of a fingerprint at most, of 8 hexadecimal digits each.
-ANCHORS = 128
+#: Hexadecimal digits of an anchor in a fingerprint. Two different anchors are taken for one by chance of 1 in 16^6,
+#: which adds some 0.05 % to a likeness at most: the longest rising run of that many chance matches.
+DIGITS = 6
+MASK = np.uint64((1 << 4 * DIGITS) - 1)
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 
@@ -36,84 +38,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(data: np.ndarray, size: int) -> np.ndarray:
-    """The first ``size`` (8 at most) bytes from every place on as one number; the last 7 places are missing."""
-    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
-    return np.ascontiguousarray(eights).view("<u8").ravel() & np.uint64((1 << 8 * size) - 1)
-
-
-class Sketch(np.ndarray):
-    """A fingerprint as numbers that knows its text, for anchors of the other size; parts of it don't."""
-
-    text: bytes | None = None
-
-
-def syncmers(text: bytes, fine: bool = False) -> np.ndarray:
-    """32-bit hashes of a text's closed syncmers in order; a text without any (as under ``SHORT_K`` bytes) is one anchor, '' none.
-
-    ``fine``: those of short texts, whatever the length.
-    """
+def syncmers(text: bytes) -> np.ndarray:
+    """The hashes, of ``DIGITS`` hexadecimal digits, of a text's closed syncmers in order; '' has none."""
     if not text:
         return np.zeros(0, np.uint32)
-    k, s = (SHORT_K, SHORT_S) if fine or len(text) < SHORT else (K, S)
+    whole = bytes(K - 1) + text
     found = []
-    for at in range(0, len(text) - k + 1, BLOCK):
-        data = np.frombuffer(text[at : at + BLOCK + k - 1], np.uint8)
-        n, places = len(data) - k + 1, k - s + 1
-        padded = np.concatenate([data, np.zeros(16, np.uint8)])
-        small = mixed(grams(padded, s))[: len(data) - s + 1]
+    places = K - S + 1
+    for at in range(0, len(whole) - K + 1, BLOCK):
+        data = np.frombuffer(whole[at : at + BLOCK + K - 1] + bytes(8), np.uint8)
+        n = len(data) - 8 - K + 1
+        eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
+        small = mixed((eights[: n + places - 1] & np.uint64((1 << 8 * S) - 1)) + np.uint64(0x9E3779B97F4A7C15))  # zero bytes are nothing special
         least, width = small, 1
         while width * 2 <= places:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         least = np.minimum(least[:n], least[places - width : places - width + n])
         chosen = np.flatnonzero((small[:n] == least) | (small[places - 1 : places - 1 + n] == least))
-        eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        low, high = (np.ascontiguousarray(eights[c]).view("<u8").ravel() for c in (chosen, chosen + 8))
-        if k < 16:
-            low, high = low & np.uint64((1 << 8 * min(k, 8)) - 1), high & np.uint64((1 << 8 * max(k - 8, 0)) - 1)
-        found.append((mixed(mixed(low) + high) >> np.uint64(32)).astype(np.uint32))
-    if not any(map(len, found)):
-        return np.frombuffer(hashlib.blake2b(text, digest_size=4).digest(), np.uint32)
+        found.append((mixed(mixed(eights[chosen]) + eights[chosen + 8]) & MASK).astype(np.uint32))
     return np.concatenate(found)
 
 
-def sketch(text: bytes, fine: bool = False) -> Sketch:
-    """The fingerprint as numbers: the distinct anchors of the smallest hashes by their first places."""
-    hashes, first = np.unique(syncmers(text, fine), return_index=True)
-    hashes, first = hashes[:ANCHORS], first[:ANCHORS]
-    found = hashes[np.argsort(first)].view(Sketch)
-    found.text = text
-    return found
+def shown(anchors: np.ndarray) -> str:
+    """The fingerprint as text: ``DIGITS`` digits an anchor."""
+    return anchors.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - DIGITS // 2 :].tobytes().hex()
 
 
-def shown(anchors: np.ndarray) -> str:
-    return anchors.astype(">u4").tobytes().hex()
+def read(fingerprint: str) -> np.ndarray:
+    """The anchors of a fingerprint that ``shown`` has made."""
+    made = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, DIGITS // 2)
+    return np.pad(made, ((0, 0), (4 - DIGITS // 2, 0))).copy().view(">u4").ravel().astype(np.uint32)
+
+
+def numbered(anchors: np.ndarray) -> np.ndarray:
+    """Anchors that differ throughout: the first of a kind, the second of that kind and so on."""
+    order = np.argsort(anchors, kind="stable")
+    own = anchors[order]
+    new = np.append(True, own[1:] != own[:-1])
+    at = np.arange(len(own))
+    out = np.empty(len(own), np.uint64)
+    out[order] = own.astype(np.uint64) << np.uint64(32) | (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """From 0 to 1: anchors in the longest common run of the same order, over all anchors of both.
 
-    Only the smallest hashes of both count, as many as both sketches tell of. Two empty ones are alike.
-    Of a short and a longer text, the finer anchors of both are compared.
+    An anchor that stands n times in both counts n times, the i-th matched with the i-th. Two empty
+    fingerprints are alike.
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    texts = [getattr(x, "text", None) for x in (a, b)]
-    if None not in texts and (len(texts[0]) < SHORT) != (len(texts[1]) < SHORT):
-        a, b = (sketch(t, fine=True) for t in texts)
-    a, b = np.asarray(a), np.asarray(b)
-    both = np.unique(np.concatenate([a, b]))[: max(len(a), len(b)) if min(len(a), len(b)) < ANCHORS else ANCHORS]
-    if len(a) < ANCHORS and len(b) < ANCHORS:
-        both = np.unique(np.concatenate([a, b]))  # both are complete
-    a, b = a[a <= both[-1]], b[b <= both[-1]]
-    place = {int(h): i for i, h in enumerate(b)}
+    total, least = len(a) + len(b), min(len(a), len(b))
+    # What both begin and end with is common without a search.
+    differ = np.flatnonzero(a[:least] != b[:least])
+    front = int(differ[0]) if len(differ) else least
+    a, b = a[front:], b[front:]
+    least = min(len(a), len(b))
+    differ = np.flatnonzero(a[::-1][:least] != b[::-1][:least])
+    back = int(differ[0]) if len(differ) else least
+    a, b = a[: len(a) - back], b[: len(b) - back]
     ends: list[int] = []
-    for h in a.tolist():  # the longest rising run of places
-        if (i := place.get(h)) is not None:
+    if len(a) and len(b):
+        _, at, places = np.intersect1d(numbered(a), numbered(b), assume_unique=True, return_indices=True)
+        for i in places[np.argsort(at)].tolist():  # the longest rising run of places
             j = bisect_left(ends, i)
             ends[j : j + 1] = [i]
-    return len(ends) / len(both)
+    common = front + back + len(ends)
+    return common / (total - common)
 
 
 def edited(text: str, following: str) -> str:
@@ -127,7 +120,8 @@ def successive(docs: DataFrame) -> DataFrame:
 
     Rows of a partition are one bucket or several whole ones. Each bucket ends with a copy of the
     row that follows it (``tail``), the first of the next bucket; the last one's is the first row of
-    all. The bounds come from one pass over the doc_ids, and the texts are shuffled once.
+    all. The bounds and the first rows' doc_ids come from passes over that column alone, the first
+    rows' texts from a scan with these doc_ids pushed down; the texts are shuffled once.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -137,16 +131,19 @@ def successive(docs: DataFrame) -> DataFrame:
     inner = sorted({float(x) for x in rows.where("doc_id is not null").approxQuantile("__place", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
     splits = [float("-inf"), *(inner or [0.0]), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="__place", outputCol="__bucket").transform(rows).withColumn("bucket", F.col("__bucket").cast("int")).drop("__bucket", "__place")
-    # The first row of each bucket, by its doc_id and a hash of its text: as many rows as buckets.
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("hash"))
-    firsts = [(r["bucket"], r["first"]) for r in rows.groupBy("bucket").agg(F.min(order).alias("first")).orderBy("bucket").collect()]
+    # The first doc_id of each bucket, as many rows as buckets: null comes before all others.
+    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    firsts = [(r["bucket"], r["first"]["doc_id"]) for r in rows.groupBy("bucket").agg(F.min(first).alias("first")).orderBy("bucket").collect()]
     if not firsts:
         return rows.select("bucket", "doc_id", "text", F.lit(False).alias("tail"))
     before = {bucket: firsts[i - 1][0] for i, (bucket, _) in enumerate(firsts)}
-    known = spark.createDataFrame([(b, f["doc_id"], f["hash"], before[b]) for b, f in firsts], "b int, id long, hash long, ends int")
-    heads = rows.join(F.broadcast(known), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")))
-    heads = heads.groupBy("ends", "doc_id", "hash").agg(F.first("text").alias("text"))  # repeated rows: one tail
-    tails = heads.select(F.col("ends").alias("bucket"), "doc_id", "text", F.lit(True).alias("tail"))
+    wanted = F.col("doc_id").isin([i for _, i in firsts if i is not None])
+    if any(i is None for _, i in firsts):
+        wanted = wanted | F.col("doc_id").isNull()
+    # Of repeated doc_ids the text of the smallest hash is first.
+    heads = rows.where(wanted).groupBy("bucket", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    ends = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("bucket"))
+    tails = heads.select(ends.alias("bucket"), "doc_id", "text", F.lit(True).alias("tail"))
     both = rows.select("bucket", "doc_id", "text", F.lit(False).alias("tail")).unionByName(tails)
     return both.repartitionById(len(splits) - 1, F.col("bucket")).sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
@@ -158,7 +155,8 @@ def compare(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` its fingerprint, its edited text's, and how near that and the next row's are.
 
     Null texts count as empty, which have the fingerprint ''. Rows follow each other by doc_id, null
-    ones first, repeated ones by a hash of their texts; an only row is followed by itself.
+    ones first, repeated ones by a hash of their texts; an only row is followed by itself. An empty
+    table gives no row, other columns are not read. Texts of any length are fingerprinted whole.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -171,11 +169,11 @@ def compare(docs: DataFrame) -> DataFrame:
             for part, texts in slices(batch, "text"):
                 made: list[tuple] = []
                 for doc_id, tail, raw in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), texts):
-                    now = (doc_id, raw.decode(), sketch(raw))
+                    now = (doc_id, raw.decode("utf-8", "replace"), syncmers(raw))
                     if held is not None:
                         id_, text, own = held
                         other = edited(text, now[1]).encode()
-                        new = sketch(other)
+                        new = syncmers(other)
                         made.append((id_, len(text), hashlib.sha256(other).hexdigest(), shown(own), shown(new), likeness(own, new), likeness(own, now[2])))
                     held = None if tail else now
                 if made:
