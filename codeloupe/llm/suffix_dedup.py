@@ -12,8 +12,8 @@ where an order of suffixes is needed:
    the first are removed whole, without a look at their windows. What is left is one run for each
    distinct stretch. Only those whose anchor and one of the 60-byte sides recur elsewhere can hold a
    window of another one; such are the edges of repeated passages.
-3. These runs' stretches are range-partitioned by the leading bytes of the suffix at their anchor,
-   with sampled splitters. Each bucket sorts the suffixes at all their windows by a multikey
+3. These runs' stretches are range-partitioned by the suffix at their anchor, with whole anchors of a
+   sample as splitters. Each bucket sorts the suffixes at all their windows by a multikey
    quicksort that splits on eight bytes at a time, and removes equal neighbours but the first. Equal
    windows have equal anchors, and splitters cut between different anchors, so no run of equal ones
    crosses a bucket's boundary.
@@ -51,8 +51,12 @@ RUNS, WINDOW_BYTES = 300_000, 24 << 20
 TEXT_BYTES = 1 << 20
 #: Hash values of doc_ids by which documents that take part in a step are told from others.
 MARKS = 1 << 18
-#: Leading bytes of the sample that splitters are taken from, and its size.
-LEAD, SAMPLE = 16, 20_000
+#: Splitters are whole anchors of a sample; its size at least, and for each bucket.
+LEAD, SAMPLE, PER_BUCKET = ANCHOR, 20_000, 8
+#: Bytes of texts, or of windows to compare, that one bucket holds on average at most.
+BUCKET_BYTES = 64 << 20
+#: Low bits of an anchor's hash that give way to its place, the same for all slices: equal windows choose equal anchors.
+PLACE_BITS = 22
 CUT, FINE, LEADS, CROWDED = 0, 1, 2, 3
 #: ``more``: windows after the first one, and CROWD_BIT; ``off``: bytes from the stretch's start to its anchor.
 RECORD = np.dtype([("h", "<u8"), ("s", "<u8"), ("r", "<u2"), ("l", "<u2"), ("doc", "<i8"), ("a", "<u4"), ("more", "u1"), ("off", "u1")])
@@ -83,8 +87,23 @@ class Powers:
         return cls.up, cls.down
 
 
-def runs(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The records of all runs of some texts, and the leading bytes of a few of them."""
+def blocks(texts: list[bytes], docs: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts, their documents and offsets; of a text over ``TEXT_BYTES`` a block after the other.
+
+    Blocks overlap so that each window is in one of them. A run that a block's end cuts is two runs,
+    which are settled like any others.
+    """
+    short = [i for i, t in enumerate(texts) if len(t) <= TEXT_BYTES]
+    if short:
+        yield [texts[i] for i in short], docs[short], np.zeros(len(short), np.int64)
+    for i, text in enumerate(texts):
+        if len(text) > TEXT_BYTES:
+            for at in range(0, len(text) - WINDOW + 1, TEXT_BYTES):
+                yield [text[at : at + TEXT_BYTES + WINDOW - 1]], docs[i : i + 1], np.array([at])
+
+
+def runs(texts: list[bytes], docs: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """The records of all runs of some texts, and the anchors of a few of them; 2 ^ PLACE_BITS bytes at most."""
     keep = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
     if not keep:
         return np.zeros(0, RECORD), []
@@ -105,8 +124,7 @@ def runs(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, list[bytes]]
 
     m = n - ANCHOR + 1
     h = mixed(e[:m] * np.uint64(0xA0761D6478BD642F) + e[8 : 8 + m] * np.uint64(0xE7037ED1A0B428DB) + e[12 : 12 + m])
-    bits = np.uint64(max(1, int(n).bit_length()))
-    place = np.uint64((1 << int(bits)) - 1)
+    place = np.uint64((1 << PLACE_BITS) - 1)
     least = (h & ~place) | np.arange(m, dtype=np.uint64)
     width = 1
     while width * 2 <= PLACES:
@@ -130,6 +148,8 @@ def runs(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, list[bytes]]
     out["l"] = np.where(left, hashed(np.where(left, s - SIDE, s), s + ANCHOR) % np.uint64(65535) + np.uint64(1), np.uint64(0))
     row = np.searchsorted(ends, a, side="right")
     out["doc"], out["a"], out["more"], out["off"] = docs[keep][row], a - begins[row], b - a, s - a
+    if offsets is not None:
+        out["a"] += offsets[keep][row].astype(np.uint32)
     some = np.flatnonzero(mixed(out["s"]) % np.uint64(2048) == 0)
     return out, [buffer[i : i + LEAD] for i in s[some].tolist()]
 
@@ -230,13 +250,14 @@ def sift(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         gathered, n, leads = [], 0, []
         for batch in batches:
             for part, texts in slices(batch, "text", TEXT_BYTES):
-                found, some = runs(texts, part.column(0).to_numpy(zero_copy_only=False))
-                gathered.append(found)
-                leads += some
-                n += len(found)
-                if n >= RUNS:
-                    yield from emit(gathered)
-                    gathered, n = [], 0
+                for block in blocks(texts, part.column(0).to_numpy(zero_copy_only=False)):
+                    found, some = runs(*block)
+                    gathered.append(found)
+                    leads += some
+                    n += len(found)
+                    if n >= RUNS:
+                        yield from emit(gathered)
+                        gathered, n = [], 0
         if n:
             yield from emit(gathered)
         if leads:
@@ -465,17 +486,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``rid, doc_id, text``, where ``rid`` is unique and orders documents: the doc_id, if that is.
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``rid, doc_id, text``, where ``rid`` is unique and orders documents: the doc_id, if that is; and all texts' bytes.
 
     With repeated or null doc_ids it numbers the distinct rows sorted by doc_id (null first) and
     text, written to the shared folder once so that it stays the same.
     """
     own = columns(docs, doc_id="long", text="string")
-    total, known = own.agg(F.count("*"), F.countDistinct("doc_id")).collect()[0]
-    if total == known:
-        return own.select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    return stored(own.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
+    size, total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).collect()[0]
+    if total == own.where("doc_id is not null").select("doc_id").distinct().count():
+        return own.select(F.col("doc_id").alias("rid"), "doc_id", "text"), size
+    return stored(own.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered"), size
 
 
 def taking_part(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -486,15 +507,23 @@ def taking_part(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame
     return marked.join(marks, "mark", "left_semi").drop("mark"), marked.join(marks, "mark", "left_anti").drop("mark")
 
 
-def removable(docs: DataFrame) -> DataFrame:
-    """``doc, a, e``: spans of UTF-8 bytes that go, of documents with a unique ``rid``; they may overlap."""
+def bucket_number(size: int, least: int) -> int:
+    """Buckets for so many bytes: ``BUCKET_BYTES`` each on average, and no fewer than ``least``."""
+    return max(least, -(-size // BUCKET_BYTES))
+
+
+def removable(docs: DataFrame, size: int) -> DataFrame:
+    """``doc, a, e``: spans of UTF-8 bytes that go, of documents with a unique ``rid`` and ``size`` bytes in all; they may overlap."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = bucket_number(size, partitions(spark))
     sifted = docs.select("rid", "text").mapInArrow(sift(buckets), SENT)
     found = stored(sifted.repartitionById(buckets, F.col("bucket")).mapInArrow(settle, FOUND), "found")
     cuts = found.where(F.col("kind") == CUT).select("doc", "a", "e")
     fine = found.where(F.col("kind").isin(FINE, CROWDED))
-    leads = found.where(F.col("kind") == LEADS).select("lead").orderBy(F.xxhash64("lead")).limit(SAMPLE)
+    # Stretches are sent as they are, crowded ones as windows.
+    wide = F.when(F.col("kind") == FINE, F.col("e") - F.col("a")).otherwise((F.col("e") - F.col("a") - (WINDOW - 1)).cast("long") * WINDOW)
+    buckets = bucket_number(fine.agg(F.coalesce(F.sum(wide), F.lit(0))).collect()[0][0], partitions(spark))
+    leads = found.where(F.col("kind") == LEADS).select("lead").orderBy(F.xxhash64("lead")).limit(max(SAMPLE, PER_BUCKET * buckets))
     sample = sorted(bytes(x) for (x,) in leads.collect())
     splitters = np.array([sample[len(sample) * i // buckets] for i in range(1, buckets)] if sample else [], f"S{LEAD}")
     listed = fine.groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "e", "off")).alias("spans"))  # of one document each
@@ -543,8 +572,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     starts earlier in its first row and goes from the others. Cutting is by bytes, so ``kept`` may
     hold parts of a character.
     """
-    rows_ = numbered(docs)
-    spans = removable(rows_)
+    rows_, size = numbered(docs)
+    spans = removable(rows_, size)
     listed = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "e")).alias("spans"))  # of one document each
     own, rest = taking_part(rows_, spans)
     own = own.join(listed.hint("shuffle_hash"), own["rid"] == listed["doc"], "left").select("doc_id", "text", "spans")

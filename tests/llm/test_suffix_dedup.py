@@ -76,3 +76,32 @@ def test_suffix_order():
 def test_merged():
     doc, a, e = m.merged(np.array([2, 1, 1, 1, 2]), np.array([5, 0, 10, 3, 1]), np.array([9, 4, 12, 10, 6]))
     assert list(zip(doc.tolist(), a.tolist(), e.tolist())) == [(1, 0, 12), (2, 1, 9)]
+
+
+def test_long_texts_in_blocks(docs, monkeypatch):
+    """Blocks of one text, and slices of any size, choose the same anchors."""
+    long = prose(200, 900)
+    rows = [(1, long), (2, prose(201, 37) + long[:3000] + prose(202, 11) + long[1000:]), (3, prose(203, 60)), (4, long[777:2777]), (5, "ab" * 3000)]
+    whole = ours(docs(rows))
+    assert whole == brute(rows)
+    for size in (100, 333, 1000):
+        monkeypatch.setattr(m, "TEXT_BYTES", size)
+        assert ours(docs(rows)) == whole
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    text = np.random.default_rng(0).integers(97, 123, 8 << 20).astype(np.uint8).tobytes()
+    m.Powers.of(1)
+    tracemalloc.start()
+    n = sum(len(m.runs(*block)[0]) for block in m.blocks([text], np.array([1])))
+    assert n > len(text) // 80 and tracemalloc.get_traced_memory()[1] < 256 << 20
+    tracemalloc.stop()
+
+
+def test_buckets_grow_with_the_bytes(docs, monkeypatch):
+    assert m.bucket_number(1, 8) == 8 and m.bucket_number(100 * m.BUCKET_BYTES + 1, 8) == 101
+    monkeypatch.setattr(m, "BUCKET_BYTES", 500)
+    rows = passages()
+    assert ours(docs(rows)) == brute(rows)
