@@ -10,6 +10,8 @@ from codeloupe.llm.common import columns
 
 #: Labels are learned from rows of remainders 1 to 4; remainder 0 is held out.
 FOLDS = 5
+#: Bytes of text that a model learns from at most.
+MOST_BYTES = 64 << 20
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -17,13 +19,15 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[bytes], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MOST_BYTES) -> tuple[list[bytes], np.ndarray]:
     """Whole texts and 0/1 labels of ``most`` labelled rows at most, none of them held out.
 
     The rows with the smallest hashes of their doc_ids are taken, so that the sample depends on
-    neither the order nor the layout of the tables. Rows with null labels or doc_ids are left out;
-    of repeated doc_ids one label and one text is taken. ``most`` is what is broadcast and sent to
-    the driver at most, whatever the tables' sizes.
+    neither the order nor the layout of the tables; one whose text doesn't fit into what is left of
+    ``most_bytes`` is passed over. Rows with null labels or doc_ids are left out; of repeated doc_ids
+    the smallest label and the largest text count, chosen before anything is sent. So the driver gets
+    ``most`` rows and ``most_bytes`` bytes of text at most, whatever the tables' sizes, and ``most``
+    rows are broadcast.
     """
     chosen = (
         columns(labels, doc_id="long", **{label: "int"})
@@ -33,10 +37,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[l
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    rows = columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
-    found: dict[int, tuple[bytes, int]] = {}
-    for doc_id, text, y in rows.select("doc_id", "text", "label").collect():
-        found.setdefault(doc_id, (b"", y))
-        found[doc_id] = max(found[doc_id], ((text or "").encode(), y))
-    ids = sorted(found)
-    return [found[i][0] for i in ids], np.array([found[i][1] for i in ids], np.int64)
+    texts = columns(docs, doc_id="long", text="string")
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("place"))
+    kept, left = [], most_bytes
+    for _, doc_id, y, size in sorted((r.place, r.doc_id, r.label, r.size) for r in sizes.collect()):
+        if size <= left:
+            kept.append((doc_id, y))
+            left -= size
+    if not kept:
+        return [], np.zeros(0, np.int64)
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long, label int"))
+    found = texts.join(wanted, "doc_id").groupBy("doc_id", "label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    found.sort(key=lambda r: r.doc_id)
+    return [r.text.encode() for r in found], np.array([r.label for r in found], np.int64)

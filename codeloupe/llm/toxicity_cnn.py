@@ -37,6 +37,8 @@ LANGUAGES = {
     b"es": b"el los las del y en que por con una para es su al se lo como",
 }
 LANGUAGE_OF = {w: k for k, ws in enumerate(LANGUAGES.values(), 1) for w in ws.split()}
+#: Bytes of text that are split, and words that are convolved, at once.
+PIECE, BLOCK = 1 << 18, 1 << 15
 #: ASCII that is no letter or digit separates words; A-Z are lower-cased.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -61,8 +63,14 @@ PAD = np.full(max(WIDTHS), -1, np.int64)
 
 
 def packed_words(text: bytes) -> np.ndarray:
-    words = text.translate(PLAIN).split()
-    return np.fromiter(map(MEMO.__getitem__, words), np.int64, len(words))
+    """A whole text's words as numbers; split piece by piece, each ending behind a separator."""
+    plain, parts, at = text.translate(PLAIN), [], 0
+    while at < len(plain):
+        end = len(plain) if len(plain) - at <= PIECE else plain.find(b" ", at + PIECE)
+        words = plain[at : end if end >= 0 else len(plain)].split()
+        parts.append(np.fromiter(map(MEMO.__getitem__, words), np.int64, len(words)))
+        at = end if end >= 0 else len(plain)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,19 +109,44 @@ class Cnn:
         e[words < 0] = 0
         return e
 
-    def convolve(self, e: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """The filters' values at each window; one that reaches into the next text never wins."""
-        made = []
-        for kernel, bias in zip(self.kernels, self.biases):
-            n = len(e) - len(kernel) + 1
-            made.append(sum(e[o : o + n] @ kernel[o] for o in range(len(kernel))) + bias)
-            for o in range(1, len(kernel)):
-                made[-1][starts[1:] - o] = -np.inf
-        return made
+    def pool(self, words: np.ndarray, starts: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Per text and filter (of all widths): its greatest value and, if asked, the first word of the window that has it.
+
+        Words are embedded and convolved a block after the other, so memory doesn't depend on a
+        text's length. A window that reaches into the next text never wins.
+        """
+        best = np.full((len(starts), len(self.out)), -np.inf, np.float32)
+        where = np.zeros(best.shape, np.int64)
+        for a in range(0, len(words), BLOCK):
+            e = self.embed(words[a : a + BLOCK + max(WIDTHS) - 1])
+            first = int(np.searchsorted(starts, a, side="right")) - 1
+            cuts = np.append(a, starts[first + 1 : np.searchsorted(starts, a + BLOCK)]) - a
+            for k, (kernel, bias) in enumerate(zip(self.kernels, self.biases)):
+                n = min(BLOCK, len(e) - len(kernel) + 1)
+                if n <= 0:
+                    continue
+                made = sum(e[o : o + n] @ kernel[o] for o in range(len(kernel))) + bias
+                for o in range(1, len(kernel)):
+                    beyond = starts[1:] - o - a
+                    made[beyond[(beyond >= 0) & (beyond < n)]] = -np.inf
+                columns_ = slice(k * FILTERS, (k + 1) * FILTERS)
+                if not places:
+                    most = np.maximum.reduceat(made, cuts[cuts < n])
+                    own = best[first : first + len(most), columns_]
+                    np.maximum(own, most, out=own)
+                    continue
+                for row, (lo, hi) in enumerate(zip(cuts, np.append(cuts[1:], n)), first):
+                    if lo >= hi:
+                        continue
+                    win = made[lo:hi].argmax(0)
+                    value = made[lo:hi][win, np.arange(FILTERS)]
+                    better = value > best[row, columns_]
+                    best[row, columns_][better] = value[better]
+                    where[row, columns_][better] = (win + lo + a)[better]
+        return best, where
 
     def logits(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        pooled = np.concatenate([np.maximum.reduceat(c, starts) for c in self.convolve(self.embed(words), starts)], axis=1)
-        return np.maximum(pooled, 0) @ self.out + self.shift
+        return np.maximum(self.pool(words, starts)[0], 0) @ self.out + self.shift
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         if not texts:
@@ -154,12 +187,10 @@ class Adagrad:
 
 
 def train_step(model: Cnn, grow: Adagrad, words: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-    e = model.embed(words)
-    maps = model.convolve(e, starts)
-    ends = np.append(starts[1:], len(words))
     n = len(y)
-    wins = [np.stack([a + m[a : min(b, len(m))].argmax(0) for a, b in zip(starts, ends)]) for m in maps]
-    pooled = [np.maximum(np.take_along_axis(m, w, 0), 0) for m, w in zip(maps, wins)]
+    best, where = model.pool(words, starts, places=True)
+    filters = [slice(k * FILTERS, (k + 1) * FILTERS) for k in range(len(WIDTHS))]
+    wins, pooled = [where[:, c] for c in filters], [np.maximum(best[:, c], 0) for c in filters]
     flat = np.concatenate(pooled, axis=1)
     logit = flat @ model.out + model.shift
     d = ((1 / (1 + np.exp(-logit)) - y) * weight / n).astype(np.float32)
@@ -170,7 +201,7 @@ def train_step(model: Cnn, grow: Adagrad, words: np.ndarray, starts: np.ndarray,
         d_kernel = np.empty_like(kernel)
         for o in range(len(kernel)):
             at = win + o
-            d_kernel[o] = np.einsum("nf,nfd->df", g, e[at])
+            d_kernel[o] = np.einsum("nf,nfd->df", g, model.embed(words[at].ravel()).reshape(*at.shape, DIMENSION))
             touched.append(at.ravel())
             spread.append((g[:, :, None] * kernel[o].T[None]).reshape(-1, DIMENSION))
         grow.step(100 + k, model.kernels[k], d_kernel)
@@ -244,7 +275,8 @@ def score(docs: DataFrame, model: Cnn) -> DataFrame:
     """Per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     Null texts score as empty ones, which have no words and the score of the bias alone. Repeated
-    rows score alike.
+    rows and ties of doc_id score alike, a null doc_id counts as the empty text for ``held_out``, an
+    empty table gives no row, other columns aren't read. Texts of any length are read whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some 3 MB, whatever the input
 

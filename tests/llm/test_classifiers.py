@@ -101,3 +101,46 @@ def test_scores_do_not_depend_on_the_batch():
 def test_languages():
     words, starts = toxicity_cnn.joined([toxicity_cnn.packed_words(t.encode()) for t in ("the house of this and that", "der Hund und die Katze", "le chat est dans la maison", "el perro y los gatos", "xyz", "")])
     assert toxicity_cnn.language(words, starts).tolist() == [1, 2, 3, 4, 0, 0]
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, docs):
+    ids = [k for k in range(400) if not held(k)]
+    repeated = docs([(k, prose(k, 20) + str(n)) for k in ids for n in range(4)])
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic int")
+    texts, y = sample(repeated, labels, "toxic", 50)
+    assert len(texts) == len(y) == 50 and all(t.endswith(b"3") for t in texts)  # one text, the largest, of each
+    texts, _ = sample(repeated, labels, "toxic", 400, most_bytes=2000)
+    assert 0 < len(texts) < 50 and sum(map(len, texts)) <= 2000
+    huge = docs([(ids[0], "x" * 5000), (ids[1], "y")])
+    assert sample(huge, labels, "toxic", 400, most_bytes=100)[0] == [b"y"]
+    assert sample(huge, labels, "toxic", 400, most_bytes=0)[0] == []
+
+
+def plain_pool(model, words, starts):
+    """Every window of every text by itself."""
+    ends, found = [*starts[1:], len(words)], []
+    for a, b in zip(starts, ends):
+        row = []
+        for kernel, bias in zip(model.kernels, model.biases):
+            e = model.embed(words[a:b])
+            row.append(np.max([sum(e[i + o] @ kernel[o] for o in range(len(kernel))) + bias for i in range(b - a - len(kernel) + 1)], axis=0))
+        found.append(np.concatenate(row))
+    return np.array(found)
+
+
+@pytest.mark.parametrize("block, piece", [(1, 1), (3, 10), (7, 64), (1 << 15, 1 << 18)])
+def test_pooling_in_blocks_like_brute_force(monkeypatch, block, piece):
+    monkeypatch.setattr(toxicity_cnn, "BLOCK", block)
+    monkeypatch.setattr(toxicity_cnn, "PIECE", piece)
+    own = [prose(1, 40), "", "one", prose(2, 3), "two words", prose(3, 90), "x" * 300, " . "]
+    texts = [toxicity_cnn.packed_words(t.encode()) for t in own]
+    assert [len(t) for t in texts] == [40, 0, 1, 3, 2, 90, 1, 0]
+    model = toxicity_cnn.blank(5)
+    words, starts = toxicity_cnn.joined(texts)
+    values, where = model.pool(words, starts, places=True)
+    assert np.allclose(values, plain_pool(model, words, starts), atol=1e-5) and np.allclose(values, model.pool(words, starts)[0])
+    for k, kernel in enumerate(model.kernels):
+        for f in range(toxicity_cnn.FILTERS):
+            for row in range(len(texts)):
+                e = model.embed(words[where[row, k * toxicity_cnn.FILTERS + f] :][: len(kernel)])
+                assert np.isclose(sum(e[o] @ kernel[o] for o in range(len(kernel)))[f] + model.biases[k][f], values[row, k * toxicity_cnn.FILTERS + f], atol=1e-5)
