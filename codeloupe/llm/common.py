@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,16 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as the one column ``row``, so that helper columns beside it can't clash with its own."""
+    return df.select(F.struct(*(F.col(f"`{name.replace('`', '``')}`") for name in df.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """The columns ``names`` of ``row`` again, some of them replaced."""
+    return df.select(*(replaced.get(name, F.col("row").getField(name)).alias(name) for name in names))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 

@@ -1,26 +1,34 @@
 """Benchmark decontamination with DataFrame and SQL functions only.
 
-The windows of the benchmark (10 consecutive words of an item; a shorter item is one window) form a
-hash set that travels with the scan. The scan of the training texts is one pass without a shuffle
-of texts: a lossless sieve hashes blocks of consecutive words at every fifth position, since each
-run of ten words holds a whole such block, and only a text with a block hash of the benchmark has
-its windows built and looked up, as exact strings. What is shuffled is one small row per document.
-
-The set's size is proven before it is used: it holds ``max_windows`` windows at most. A larger
-benchmark takes the other way, a shuffled join of window hashes with the benchmark's windows,
-verified on the strings, which gives the same rows.
+The windows of the benchmark are 10 consecutive words of an item; a shorter item is one window. What
+travels with the scan of the training texts is a hash set: a Bloom filter of the hashes of the
+windows' blocks of five words (of whole windows, for shorter ones). A text is hashed at every fifth
+word, since the first such block in a window of ten is whole in it, and only the windows around a
+block that the filter knows are built as strings. These are joined with the benchmark's windows,
+equal strings only, so the filter decides nothing by itself.
+
+The filter is used up to ``max_keys`` hashes (some four bytes each); beyond that the block hashes are
+joined as eight-byte numbers. The benchmark's windows are broadcast up to ``max_windows`` and
+``MAX_BYTES``; beyond that the join is shuffled, of the windows left by the filter. All ways give the
+same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloupe.llm.common import checkpointed, columns
+from codeloupe.llm.common import checkpointed, columns, packed, unpacked
 
 WINDOW = 10
-#: Largest number of distinct benchmark windows that is sent to the executors as a set (some 100 bytes each).
-MAX_WINDOWS = 50_000
+#: Largest number and size of distinct benchmark windows that are broadcast.
+MAX_WINDOWS, MAX_BYTES = 200_000, 32 << 20
+#: Largest number of block hashes that travel as a Bloom filter.
+MAX_KEYS = 500_000
+#: Bits of the filter for each hash, seven in a byte: one block in some 1,500 passes by chance.
+KEY_BITS = 32
+#: Largest number of contaminated texts' hashes (64 bytes each) that are broadcast.
+MAX_TEXTS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything in ASCII that is no digit or letter, once A-Z are lower-cased.
 BREAK = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -39,117 +47,181 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return spans.select("item_id", "size", F.expr("array_join(slice(__w, at, size), ' ')").alias("gram")).distinct()
 
 
-def computed(df: DataFrame, name: str, sql: str) -> DataFrame:
+def computed(df: DataFrame, name: str, sql: str | Column) -> DataFrame:
     """``df`` with a column that is computed once a row, whatever is built on it.
 
     A plain projection would be merged into later projections and filters, and one that is merged
     into a lambda runs again for each element. A one-element generator stops that.
     """
-    return df.select("*", F.expr(f"explode(array({sql}))").alias(name))
-
-
-def in_set(value: str, members: list) -> str:
-    """SQL: membership in a literal set; twelve members at least make Catalyst build a hash set."""
-    listed = [f"{m}L" if isinstance(m, int) else "'" + m.replace("\\", "\\\\").replace("'", "\\'") + "'" for m in members]
-    return f"{value} IN ({', '.join(listed + listed[:1] * (12 - len(listed)))})"
-
-
-def hits_by_set(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """``docs`` with ``__w`` (words) and ``__hits``, an array of ``struct<at, size, gram>``, from the broadcast set."""
-    listed = grams.select("size", "gram").distinct().collect()
-    by_size: dict[int, list[str]] = {}
-    for size, gram in listed:
-        by_size.setdefault(size, []).append(gram)
-    tokens = computed(docs, "__w", words("text"))
-    if not listed:
-        return tokens.withColumn("__hits", F.expr("cast(array() as array<struct<at: int, size: int, gram: string>>)"))
-    block = (min(by_size) + 1) // 2  # a window has a whole block of this many words at a multiple of it
-    at_block = "xxhash64(" + ", ".join(f"__w[i + {k}]" for k in range(block)) + ")"
-    every = computed(grams, "__w", "split(gram, ' ')").select(F.expr(f"explode(transform(sequence(0, size - {block}), i -> {at_block}))").alias("h"))
-    hashed = every.distinct().collect()
-    sieve = f"size(__w) >= {block} AND exists(sequence(0, greatest(size(__w) - {block}, 0), {block}), i -> {in_set(at_block, [h for (h,) in hashed])})"
-    found = [
-        f"filter(transform(sequence(1, greatest(size(__w) - {size - 1}, 1)), i -> struct(i AS at, {size} AS size, array_join(slice(__w, i, {size}), ' ') AS gram)), h -> {in_set('h.gram', members)})"
-        for size, members in sorted(by_size.items())
-    ]
-    return computed(tokens, "__hits", f"CASE WHEN {sieve} THEN array_sort(concat({', '.join(found)})) END")
-
-
-def hits_by_join(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """The same as ``hits_by_set`` for a benchmark of any size; ``docs`` must have a unique ``__rid``."""
-    tokens = computed(docs, "__w", words("text"))
-    sizes = [size for (size,) in grams.select("size").distinct().orderBy("size").collect()]
-    spans = [tokens.select("__rid", F.lit(size).alias("size"), F.expr(f"posexplode(transform(sequence(1, greatest(size(__w) - {size - 1}, 1)), i -> array_join(slice(__w, i, {size}), ' ')))").alias("at", "gram")) for size in sizes]
-    if not spans:
-        return tokens.withColumn("__hits", F.expr("cast(array() as array<struct<at: int, size: int, gram: string>>)"))
-    every = spans[0]
-    for other in spans[1:]:
-        every = every.unionByName(other)
-    matched = every.join(grams.select("size", "gram").distinct(), ["size", "gram"], "left_semi")
-    found = matched.groupBy("__rid").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "size", "gram"))).alias("__hits"))
-    return tokens.join(found, "__rid", "left")
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a unique ``__rid``, ``__w``, ``__hits`` and ``__n_hit``; and the benchmark's windows.
-
-    ``__hits`` is null where the sieve finds nothing. ``__n_hit`` counts words covered by any hit: a
-    hit adds the words past the last one's end.
-    """
-    grams = checkpointed(benchmark_windows(benchmark, window))
-    keyed = docs.withColumn("__rid", F.monotonically_increasing_id())
-    if grams.select("size", "gram").distinct().count() <= max_windows:
-        found = hits_by_set(keyed, grams)
-    else:
-        found = hits_by_join(checkpointed(keyed), grams)
-    covered = """aggregate(coalesce(__hits, array()), struct(0 AS upto, 0L AS n),
-        (s, h) -> struct(greatest(s.upto, h.at + h.size - 1) AS upto, s.n + greatest(h.at + h.size - 1 - greatest(s.upto, h.at - 1), 0) AS n), s -> s.n)"""
-    return computed(found, "__n_hit", covered), grams
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    return df.select("*", F.explode(F.array(F.expr(sql) if isinstance(sql, str) else sql)).alias(name))
+
+
+def key_at(size: int, block: int) -> str:
+    """SQL: the hash of the ``block`` words of ``__w`` from ``i`` on, for windows of ``size`` words."""
+    return f"xxhash64({size}, " + ", ".join(f"__w[i + {k}]" for k in range(block)) + ")"
+
+
+def block_of(size: int, window: int) -> int:
+    """Words that are hashed together, at every such step; windows shorter than others are hashed whole, at every word."""
+    return (size + 1) // 2 if size == window else size
+
+
+def slots(key: Column, bits: int) -> list[Column]:
+    """Three places of a key in a filter of so many bits."""
+    return [F.pmod(x, F.lit(bits)) for x in (key, F.shiftright(key, 21), F.shiftrightunsigned(key, 42) * 2654435761)]
+
+
+def bloom(keys: DataFrame, bits: int) -> bytes:
+    """The filter of ``keys`` (``key``), with seven bits in a byte, so that every byte is a character."""
+    at = keys.select(F.explode(F.array(*slots(F.col("key"), bits))).alias("at"))
+    filled = at.groupBy(F.expr("at div 7").alias("place")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 7 AS int))")).alias("value")).collect()
+    table = bytearray(-(-bits // 7))
+    for place, value in filled:
+        table[place] = value
+    return bytes(table)
+
+
+def in_bloom(key: Column, table: Column, bits: int) -> Column:
+    known = F.lit(True)
+    for at in slots(key, bits):
+        byte = F.ascii(F.substring(table, F.expr("1").cast("int") + F.floor(at / 7).cast("int"), F.lit(1)).cast("string"))
+        known = known & (F.getbit(byte, (at % 7).cast("int")) == 1)
+    return known
+
+
+class Windows:
+    """The benchmark's windows, written once: ``grams`` (``item_id, size, gram, gid``) and ``distinct`` (``size, gram, gid``)."""
+
+    def __init__(self, benchmark: DataFrame, window: int, max_windows: int, max_keys: int):
+        self.window = window
+        grams = checkpointed(benchmark_windows(benchmark, window))
+        self.distinct = checkpointed(grams.select("size", "gram").distinct().withColumn("gid", F.monotonically_increasing_id()))
+        self.grams = grams.join(self.distinct, ["size", "gram"])
+        n, size = self.distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).collect()[0]
+        self.small = n <= max_windows and size <= MAX_BYTES
+        self.sizes = [size for (size,) in self.distinct.select("size").distinct().orderBy("size").collect()]  # ``window`` at most
+        found = []
+        every = computed(self.distinct, "__w", "split(gram, ' ')")
+        for size in self.sizes:
+            block = block_of(size, window)
+            found.append(every.where(F.col("size") == size).select(F.expr(f"explode(transform(sequence(0, {size - block}), i -> {key_at(size, block)}))").alias("key")))
+        self.keys = None
+        for one in found:
+            self.keys = one if self.keys is None else self.keys.unionByName(one)
+        if self.keys is not None:
+            self.keys = checkpointed(self.keys.distinct())
+            n = self.keys.count()
+            self.bits = max(7 * 64, n * KEY_BITS)
+            self.table = bloom(self.keys, self.bits) if n <= max_keys else None
+
+    def broadcast(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.small else df
+
+    def candidates(self, tokens: DataFrame) -> DataFrame:
+        """``tokens``, rows with ``__w`` and a unique ``__rid``, with ``__c``: ``array<struct<at, size, gram>>`` of windows that may be the benchmark's."""
+        if not self.sizes:
+            return tokens.withColumn("__c", F.expr("cast(array() AS array<struct<at: int, size: int, gram: string>>)"))
+        if self.table is not None:
+            table, parts = F.lit(self.table), []
+            for size in self.sizes:
+                block = block_of(size, self.window)
+                step = block if size == self.window else 1
+                hashed = F.expr(f"CASE WHEN size(__w) >= {size} THEN transform(sequence(0, size(__w) - {block}, {step}), i -> struct({size} AS size, i AS i, {key_at(size, block)} AS key)) ELSE array() END")
+                parts.append(F.filter(hashed, lambda x: in_bloom(x["key"], table, self.bits)))
+            return self._built(computed(tokens, "__k", F.concat(*parts)))
+        rows = []
+        for size in self.sizes:
+            block = block_of(size, self.window)
+            step = block if size == self.window else 1
+            own = tokens.where(f"size(__w) >= {size}").select("__rid", F.lit(size).alias("size"), F.expr(f"posexplode(transform(sequence(0, size(__w) - {block}, {step}), i -> {key_at(size, block)}))").alias("i", "key"))
+            rows.append(own.withColumn("i", F.col("i") * step))
+        every = rows[0]
+        for other in rows[1:]:
+            every = every.unionByName(other)
+        known = every.join(self.keys, "key", "left_semi").groupBy("__rid").agg(F.collect_list(F.struct("size", "i")).alias("__k"))
+        return self._built(tokens.join(known, "__rid", "left").withColumn("__k", F.coalesce("__k", F.expr("cast(array() AS array<struct<size: int, i: int>>)"))))
+
+    def _built(self, marked: DataFrame) -> DataFrame:
+        """The windows, as strings, that a known block (``__k``) is the first whole one of."""
+        back = block_of(self.window, self.window) - 1
+        starts = f"CASE WHEN k.size = {self.window} THEN sequence(greatest(k.i - {back}, 0), k.i) ELSE array(k.i) END"
+        built = f"flatten(transform(__k, k -> transform(filter({starts}, p -> p + k.size <= size(__w)), p -> struct(p + 1 AS at, k.size AS size, array_join(slice(__w, p + 1, k.size), ' ') AS gram))))"
+        return computed(marked, "__c", built).drop("__k")
+
+
+#: Words covered by sorted hits: a hit adds the words past the last one's end.
+COVERED = """aggregate(hits, struct(0 AS upto, 0L AS n),
+    (s, h) -> struct(greatest(s.upto, h.at + h.size - 1) AS upto, s.n + greatest(h.at + h.size - 1 - greatest(s.upto, h.at - 1), 0) AS n), s -> s.n)"""
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, max_keys: int = MAX_KEYS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Null and wordless texts have no words and no hits; items without words and repeated items add
     nothing; a null item_id counts as no item. ``items_sha256`` of no items is that of ''. Repeated
-    rows give repeated results.
+    rows and ties of doc_id give a result each, empty tables none or no hits; other columns aren't
+    read. Texts of any length are scanned whole.
     """
-    found, grams = scan(columns(docs, doc_id="long", text="string"), benchmark, window, max_windows)
-    slim = found.select("__rid", "doc_id", F.expr("cast(size(__w) AS bigint)").alias("n_words"), "__n_hit", F.expr("explode_outer(transform(__hits, h -> h.gram))").alias("gram"))
-    # Distinct windows of a document before the join: at most one row for each.
-    per_gram = slim.groupBy("__rid", "doc_id", "n_words", "__n_hit", "gram").agg(F.lit(1).alias("one"))
-    items = per_gram.join(grams.select("gram", "item_id"), "gram", "left")
-    per_doc = items.groupBy("__rid", "doc_id", "n_words", "__n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return per_doc.select(
+    windows = Windows(benchmark, window, max_windows, max_keys)
+    own = columns(docs, doc_id="long", text="string").withColumn("__rid", F.monotonically_increasing_id())
+    if windows.sizes and windows.table is None:
+        own = checkpointed(own)  # the ids are used by both sides of a join
+    found = windows.candidates(computed(own, "__w", words("text")))
+    slim = found.select("__rid", "doc_id", F.expr("cast(size(__w) AS bigint)").alias("n_words"), F.explode_outer("__c").alias("c")).select("__rid", "doc_id", "n_words", "c.at", "c.size", "c.gram")
+    known = slim.join(windows.broadcast(windows.distinct), ["size", "gram"], "left")
+    hit = F.when(F.col("gid").isNotNull(), F.struct("at", "size"))
+    per_doc = known.groupBy("__rid", "doc_id", "n_words").agg(F.array_sort(F.collect_list(hit)).alias("hits"), F.collect_set("gid").alias("gids"))
+    counted = per_doc.select("__rid", "doc_id", "n_words", F.expr(COVERED).alias("n_hit"), F.explode_outer("gids").alias("gid"))
+    items = counted.join(windows.broadcast(windows.grams.select("gid", "item_id")), "gid", "left")
+    listed = items.groupBy("__rid", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return listed.select(
         "doc_id",
         "n_words",
-        F.col("__n_hit").alias("n_hit"),
+        "n_hit",
         F.expr("cast(size(items) AS bigint)").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.col("__n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, max_windows: int = MAX_WINDOWS, max_keys: int = MAX_KEYS) -> DataFrame:
     """``docs`` without its contamination; the same columns.
 
     ``remove="documents"`` drops every row with a hit. ``remove="spans"`` keeps all rows and cuts
     each maximal run of hit words out of its text, with the separators inside the run; the text
-    around it stays as it is. Rows without a hit pass unchanged.
+    around it stays as it is. Rows without a hit pass unchanged, and so do null and empty texts.
+    Equal texts fare alike, whatever their doc_ids; an empty table stays empty, and without any item
+    nothing goes. Other columns pass through, whatever their names.
+
+    Hits are found in one scan and kept by the texts' SHA-256; a second scan takes them out. Only the
+    hashes are broadcast, ``MAX_TEXTS`` of them at most; beyond that the join is shuffled.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
-    found, _ = scan(docs, benchmark, window, max_windows)
+    windows = Windows(benchmark, window, max_windows, max_keys)
+    own = columns(docs, text="string").where("text is not null")
+    if windows.sizes and windows.table is None:
+        own = own.distinct()
+    own = own.withColumn("__rid", F.sha2("text", 256))
+    suspects = windows.candidates(computed(own, "__w", words("text"))).select("__rid", F.explode("__c").alias("c")).select("__rid", "c.at", "c.size", "c.gram")
+    hits = suspects.join(windows.broadcast(windows.distinct), ["size", "gram"]).select("__rid", "at", "size").distinct()
+    if remove == "documents":
+        hits = hits.select("__rid").distinct()
+    else:
+        runs = """aggregate(hits, cast(array() AS array<struct<a: int, b: int>>), (s, h) ->
+            CASE WHEN size(s) > 0 AND h.at <= s[size(s) - 1].b + 1
+                 THEN concat(slice(s, 1, size(s) - 1), array(struct(s[size(s) - 1].a AS a, greatest(s[size(s) - 1].b, h.at + h.size - 1) AS b)))
+                 ELSE concat(s, array(struct(h.at AS a, h.at + h.size - 1 AS b))) END)"""
+        hits = hits.groupBy("__rid").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("hits")).select("__rid", F.expr(runs).alias("runs"))
+    hits = checkpointed(hits)
+    known = F.broadcast(hits) if hits.limit(MAX_TEXTS + 1).count() <= MAX_TEXTS else hits
+    rows = packed(docs).withColumn("__rid", F.sha2(F.col("row")["text"].cast("string"), 256))
     if remove == "documents":
-        return found.where("__n_hit = 0").select(docs.columns)
+        return unpacked(rows.join(known, "__rid", "left_anti"), docs.columns)
     # Pieces alternate: separator, word, separator, ..., so word k is piece 2k and cutting is by index.
-    runs = """aggregate(__hits, cast(array() AS array<struct<a: int, b: int>>), (s, h) ->
-        CASE WHEN size(s) > 0 AND h.at <= s[size(s) - 1].b + 1
-             THEN concat(slice(s, 1, size(s) - 1), array(struct(s[size(s) - 1].a AS a, greatest(s[size(s) - 1].b, h.at + h.size - 1) AS b)))
-             ELSE concat(s, array(struct(h.at AS a, h.at + h.size - 1 AS b))) END)"""
-    gaps = r"regexp_extract_all(text, '([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|$)', 0)"
-    cut = computed(computed(found, "__runs", f"CASE WHEN __n_hit > 0 THEN {runs} END"), "__pieces", f"CASE WHEN __n_hit > 0 THEN {gaps} END")
-    kept = r"""array_join(transform(__pieces, (p, i) -> CASE
-        WHEN exists(__runs, r -> i + 1 = r.a) THEN regexp_extract(p, '^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*', 0)
-        WHEN exists(__runs, r -> i + 1 > r.a AND i + 1 <= r.b) THEN '' ELSE p END), '')"""
-    return cut.withColumn("text", F.when(F.col("__n_hit") > 0, F.expr(kept)).otherwise(F.col("text"))).select(docs.columns)
+    gaps = r"regexp_extract_all(row.text, '([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|$)', 0)"
+    cut = computed(rows.join(known, "__rid", "left"), "pieces", f"CASE WHEN runs IS NOT NULL THEN {gaps} END")
+    kept = r"""array_join(transform(pieces, (p, i) -> CASE
+        WHEN exists(runs, r -> i + 1 = r.a) THEN regexp_extract(p, '^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*', 0)
+        WHEN exists(runs, r -> i + 1 > r.a AND i + 1 <= r.b) THEN '' ELSE p END), '')"""
+    return unpacked(cut, docs.columns, text=F.when(F.col("runs").isNotNull(), F.expr(kept)).otherwise(F.col("row")["text"]))

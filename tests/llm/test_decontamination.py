@@ -50,10 +50,37 @@ def ours(df):
     return sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect())
 
 
-@pytest.mark.parametrize("most", [m.MAX_WINDOWS, 0])
-def test_like_brute_force_with_the_set_and_with_the_join(spark, docs, rows, items, most):
+@pytest.mark.parametrize("most, keys", [(m.MAX_WINDOWS, m.MAX_KEYS), (0, m.MAX_KEYS), (m.MAX_WINDOWS, 0), (0, 0)])
+def test_like_brute_force_with_the_filter_and_with_joins(spark, docs, rows, items, most, keys):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    assert ours(m.contamination(docs(rows), benchmark, max_windows=most)) == brute(rows, items)
+    assert ours(m.contamination(docs(rows), benchmark, max_windows=most, max_keys=keys)) == brute(rows, items)
+    gone = {b[0] for b in brute(rows, items) if b[-1]}
+    kept = m.decontaminate(docs(rows), benchmark, max_windows=most, max_keys=keys).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r[0]) for r in rows if str(r[0]) not in gone)
+
+
+def test_a_full_filter_gives_the_same_rows(spark, docs, rows, items, monkeypatch):
+    """The filter only saves work: one that lets nearly everything pass changes nothing."""
+    monkeypatch.setattr(m, "KEY_BITS", 0)
+    assert ours(m.contamination(docs(rows), spark.createDataFrame(items, "item_id long, text string"))) == brute(rows, items)
+
+
+def test_many_windows(spark, docs):
+    """200,000 windows: the filter and the join of the windows it leaves."""
+    benchmark = spark.sql("SELECT id AS item_id, array_join(transform(sequence(0, 99), i -> concat('w', abs(hash(id, i)) % 5000)), ' ') AS text FROM range(2200)")
+    own = [r.text for r in benchmark.limit(3).collect()]
+    rows = [(1, prose(1, 3000)), (2, f"{prose(2, 20)} {' '.join(own[0].split()[5:15])}"), (3, own[1]), (4, " ".join(own[2].split()[:9]))]
+    assert m.Windows(benchmark, 10, m.MAX_WINDOWS, m.MAX_KEYS).distinct.count() > 200_000 - 2000
+    found = {r.doc_id: r.n_hit for r in m.contamination(docs(rows), benchmark).collect()}
+    assert found == {1: 0, 2: 10, 3: 100, 4: 0}
+
+
+def test_clashing_and_dotted_columns(spark, docs, items):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    df = docs([(1, "Solo"), (2, "x"), (3, None)]).selectExpr("*", "1 AS __w", "2 AS __rid", "3 AS row", "4 AS `a.b`", "5 AS __c", "6 AS runs", "7 AS gram")
+    assert sorted(r.doc_id for r in m.decontaminate(df, benchmark).select(df.columns[:6] + ["`a.b`"]).collect()) == [2, 3]
+    assert [r[0] for r in m.decontaminate(df, benchmark, remove="spans").where("doc_id = 1").select("text").collect()] == [""]
+    assert m.decontaminate(df, benchmark).columns == df.columns and m.contamination(df, benchmark).count() == 3
 
 
 def test_without_short_items(spark, docs, rows, items):
