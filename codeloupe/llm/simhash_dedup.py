@@ -16,16 +16,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloupe.llm.common import checkpointed, columns, map_texts
+from codeloupe.llm.common import checkpointed, columns, map_texts, packed, unpacked
 
 SEED = 42
 MAX_DISTANCE = 2
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 17
-NO_ID = (1 << 63) - 1
 
 
 def simhash(text: bytes, width: int = 3) -> int:
@@ -46,6 +45,11 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
 
 
+def place_of(doc_id: Column) -> Column:
+    """``struct<none, id>`` that orders documents by doc_id, null ones behind all others; no id is taken for null."""
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) of every row of ``docs``."""
 
@@ -100,9 +104,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def assigned(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, n_near, component`` (``struct<first, fp>``) of every row of ``docs``."""
+    """``doc_id, fp, n_near, component`` (``struct<first: struct<none, id>, fp>``) of every row of ``docs``."""
     rows = checkpointed(fingerprints(docs))
-    classes = checkpointed(rows.groupBy("fp").agg(F.count("*").alias("n"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first")))
+    classes = checkpointed(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(place_of(F.col("doc_id"))).alias("first")))
     edges = checkpointed(links(classes))
     counted = edges.groupBy("fp").agg(F.sum("n2").alias("beside"))
     per_class = (
@@ -125,7 +129,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "n_near",
-        F.when(F.col("component.first") != NO_ID, F.col("component.first")).alias("component_id"),
+        F.when(~F.col("component.first.none"), F.col("component.first.id")).alias("component_id"),
     )
 
 
@@ -133,21 +137,23 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per component: the one with the smallest doc_id.
 
     Among rows that share that doc_id, one with the component's own fingerprint stays. A component
-    whose doc_ids are all null keeps one row. Extra columns pass through.
+    whose doc_ids are all null keeps one row. Null and empty texts are one component. An empty table
+    stays empty. Extra columns pass through, whatever their names.
     """
-    head = F.coalesce("doc_id", F.lit(NO_ID))
-    kept = assigned(docs).where((head == F.col("component.first")) & (F.col("fp") == F.col("component.fp")))
-    kept = checkpointed(kept.groupBy(head.alias("__id")).agg(F.collect_set("fp").alias("__fps")))
-    ids = docs.groupBy(head.alias("__id")).agg(F.count("*").alias("__n"))
-    kept = checkpointed(kept.join(ids, "__id"))
-    matched = docs.withColumn("__id", head).join(kept, "__id")
-    once = matched.where("__n = 1").select(docs.columns)
-    if not kept.where("__n > 1").take(1):
-        return once
+    heads = checkpointed(assigned(docs).select("component.first", F.col("component.fp").alias("fp")).distinct())
+    rows = packed(docs).withColumn("first", place_of(F.col("row")["doc_id"].cast("long")))
+    times = rows.groupBy("first").agg(F.count("*").alias("times"))
+    known = checkpointed(heads.join(times, "first"))
+    # A doc_id that stands once needs no look at its text.
+    once = rows.join(known.where("times = 1").select("first"), "first", "left_semi")
+    if not known.where("times > 1").take(1):
+        return unpacked(once, docs.columns)
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((simhash((x or "").encode()) for x in texts), np.uint64, len(texts)).view(np.int64))
 
-    repeated = matched.where("__n > 1").withColumn("__fp", fingerprint("text")).where(F.array_contains("__fps", F.col("__fp")))
-    return once.unionByName(repeated.dropDuplicates(["__id", "__fp"]).select(docs.columns))
+    several = known.where("times > 1")
+    repeated = rows.join(several.select("first").distinct(), "first", "left_semi").withColumn("fp", fingerprint(F.col("row")["text"].cast("string")))
+    chosen = repeated.join(several.select("first", "fp"), ["first", "fp"], "left_semi").groupBy("first", "fp").agg(F.first("row").alias("row"))
+    return unpacked(once.select("row").unionByName(chosen.select("row")), docs.columns)

@@ -23,13 +23,13 @@ def brute(rows):
     """doc_id, fingerprint, n_near and component_id by comparing all pairs."""
     fps = np.array([plain_simhash(t) for _, t in rows], np.uint64)
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
-    label = np.array([2**62 if i is None else i for i, _ in rows])
+    label = np.array([2**64 if i is None else i for i, _ in rows], object)
     while True:
-        new = np.array([label[near[k]].min() for k in range(len(rows))])
+        new = np.array([label[near[k]].min() for k in range(len(rows))], object)
         if (new == label).all():
             break
         label = new
-    return sorted((str(i), f"{int(f):016x}", int(n) - 1, None if c == 2**62 else int(c)) for (i, _), f, n, c in zip(rows, fps, near.sum(1), label))
+    return sorted((str(i), f"{int(f):016x}", int(n) - 1, None if c == 2**64 else int(c)) for (i, _), f, n, c in zip(rows, fps, near.sum(1), label))
 
 
 def ours(df):
@@ -62,11 +62,26 @@ def test_no_link_of_chosen_fingerprints_is_lost(spark):
             fps.append(f ^ (1 << int(a)) ^ (1 << int(b)))
     fps = list(dict.fromkeys(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    classes = spark.createDataFrame([(f, 1, k) for k, f in enumerate(signed)], "fp long, n long, first long")
+    classes = spark.createDataFrame([(f, 1, (False, k)) for k, f in enumerate(signed)], "fp long, n long, first struct<none: boolean, id: long>")
     found = sorted((r.fp, r.fp2) for r in m.links(classes).collect())
     assert found == sorted((a, b) for i, a in enumerate(signed) for j, b in enumerate(signed) if i != j and (fps[i] ^ fps[j]).bit_count() <= 2)
 
 
+def test_ends_of_the_type(docs):
+    rows = [(2**63 - 1, "a b c d"), (2**63 - 1, "e f g h"), (-(2**63), "i j k l"), (None, "m n o p"), (None, "m n o p"), (None, "a b c d"), (0, "q r s t")]
+    found = sorted((str(r.doc_id), r.fingerprint, r.n_near, r.component_id) for r in m.near_duplicates(docs(rows)).collect())
+    assert found == brute(rows)
+    kept = sorted((str(r.doc_id), r.text) for r in m.deduplicate(docs(rows)).collect())
+    assert kept == [("-9223372036854775808", "i j k l"), ("0", "q r s t"), ("9223372036854775807", "a b c d"), ("9223372036854775807", "e f g h"), ("None", "m n o p")]
+
+
+def test_clashing_and_dotted_columns(docs):
+    df = docs([(1, "a b c d"), (2, "a b c d"), (2, "w x y z"), (3, None)]).selectExpr("*", "2 AS __id", "3 AS row", "4 AS first", "5 AS fp", "6 AS `a.b`")
+    kept = m.deduplicate(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.drop("lang", "source", "n_chars").collect()), key=str) == [(1, "a b c d", 2, 3, 4, 5, 6), (2, "w x y z", 2, 3, 4, 5, 6), (3, None, 2, 3, 4, 5, 6)]
+
+
 def test_nothing(docs):
     assert ours(docs([])) == [] and m.deduplicate(docs([])).count() == 0
 
