@@ -8,30 +8,39 @@ own, and the last epoch ends where the budget is used up. The stream is cut into
 source's progress, so that every block holds all sources at their weights; inside a block rows are
 permuted.
 
-Running totals come from two levels: hashes split an epoch of a source into ``PIECES`` pieces whose
-totals are summed first, and only inside a piece are rows in order. A source with a third of all
-rows is therefore thousands of small windows.
+Words are counted once, into a table of one small row for each different document. The bisection
+needs sums over the sources only: of few different totals they are taken on the driver, else by an
+aggregation for each pass, so there may be any number of sources. Running totals come from two
+levels: hashes split an epoch of a source into ``PIECES`` pieces whose totals are summed first, and
+only inside a piece are rows in order. A source with a third of all rows is therefore thousands of
+small windows, and a row that is repeated is one row with a count until the last step.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloupe.llm.common import checkpointed
+from codeloupe.llm.common import checkpointed, packed, unpacked
 
 SEED = 7
 PIECE_BITS = 12
-#: Sources whose totals may come to the driver; more than these are an error, not a truncation.
-MAX_SOURCES = 100_000
+#: Different totals of sources that come to the driver, and sources that are broadcast, at most.
+MAX_TOTALS = MAX_SOURCES = 100_000
 BLOCK_TOKENS = 1_000_000
 MAX_REPETITION = 2.0
 #: Share of the greatest possible entropy.
 TARGET_ENTROPY = 0.98
+#: Halvings of the exponent's interval that one pass makes, and passes.
+HALVINGS, PASSES = 4, 12
+#: Copies of a row that one array holds while they are dealt out.
+COPIES = 100_000
 
 
 def tokens(text: str = "text") -> Column:
@@ -41,117 +50,175 @@ def tokens(text: str = "text") -> Column:
 
 @dataclass(frozen=True)
 class Mix:
-    """Per source: its weight and its budget in tokens."""
+    """The exponent, and what a source's weight follows from: the largest total, and the sum of all powers of totals over it."""
 
     exponent: float
-    weights: dict
-    budgets: dict
+    most: int
+    powers: float
+    budget: float
 
-    @property
-    def budget(self) -> float:
-        return sum(self.budgets.values())
+    def weight(self, total: Column) -> Column:
+        """A source's weight by its total; 0 without a token."""
+        return F.when(total > 0, F.pow(total / F.lit(float(self.most or 1)), F.lit(self.exponent)) / F.lit(self.powers or 1.0)).otherwise(0.0)
 
+    def weight_of(self, total: int) -> float:
+        return (total / self.most) ** self.exponent / self.powers if total else 0.0
 
-def powered(totals: dict, exponent: float) -> dict:
-    """Weights by share to the power ``exponent``; sources without a token have none."""
-    most = max(totals.values(), default=0)
-    raised = {s: (t / most) ** exponent if t else 0.0 for s, t in totals.items()}
-    whole = sum(raised.values()) or 1.0
-    return {s: r / whole for s, r in raised.items()}
 
+#: Of some exponents: the sums of powers of totals (over the largest), and of powers times logarithms.
+Sums = Callable[[Sequence[float]], list[tuple[float, float]]]
 
-def entropy(weights: dict) -> float:
-    return -sum(w * math.log(w) for w in weights.values() if w > 0)
 
+def temper(n: int, least: int, most: int, sums: Sums, target_entropy: float = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: float | None = None) -> Mix:
+    """The mix of ``n`` sources with tokens, whose totals lie between ``least`` and ``most``.
 
-def temper(totals: dict, target_entropy: float = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: float | None = None) -> Mix:
-    """The mix of sources with these token totals.
-
-    ``target_entropy`` is a share of the logarithm of the number of sources with tokens. Without a
-    ``budget`` it is the smallest that passes over every source once at least, so that no document
-    is lost. With one, a source is allowed ``max_repetition`` passes too; where even the shares
-    themselves need more, the exponent is 1 and the budget decides.
+    ``target_entropy`` is a share of the logarithm of ``n``. Without a ``budget`` it is the smallest
+    that passes over every source once at least, so that no document is lost. With one, a source is
+    allowed ``max_repetition`` passes too; where even the shares themselves need more, the exponent
+    is 1 and the budget decides.
     """
-    full = {s: t for s, t in totals.items() if t}
-    goal = target_entropy * math.log(len(full)) if len(full) > 1 else 0.0
-
-    def repetition(weights: dict) -> float:
-        rates = [weights[s] / t for s, t in full.items()]
-        return max(rates) / min(rates) if budget is None else max(rates) * budget
+    goal = target_entropy * math.log(n) if n > 1 else 0.0
 
-    def enough(exponent: float) -> bool:
-        weights = powered(totals, exponent)
-        return entropy(weights) >= goal or repetition(weights) >= max_repetition
+    def enough(exponents: Sequence[float]) -> list[bool]:
+        found = []
+        for a, (powers, logs) in zip(exponents, sums(exponents)):
+            entropy = math.log(powers) - a * logs / powers
+            spread = (least / most) ** (a - 1)  # the passes of the smallest source to one of the largest
+            passes = spread if budget is None else spread / (powers * most) * budget
+            found.append(entropy >= goal or passes >= max_repetition)
+        return found
 
     exponent = 1.0
-    if full and not enough(1.0):
+    if n and not enough([1.0])[0]:
         low, high = 0.0, 1.0  # enough at low, or as far as one can go; not enough at high
-        for _ in range(60):
-            middle = (low + high) / 2
-            low, high = (middle, high) if enough(middle) else (low, middle)
+        for _ in range(PASSES):
+            steps = 1 << HALVINGS
+            points = [low + (high - low) * k / steps for k in range(1, steps)]
+            inside = sum(enough(points))  # enough up to there
+            low, high = ([low, *points, high][inside + k] for k in (0, 1))
         exponent = high  # the allowed side of the repetition limit
-    weights = powered(totals, exponent)
-    whole = budget if budget is not None else max((t / weights[s] for s, t in full.items()), default=0.0)
-    return Mix(exponent, weights, {s: w * whole for s, w in weights.items()})
+    powers = sums([exponent])[0][0] if n else 0.0
+    # Weights grow slower than totals, so the largest source needs the largest budget for one pass.
+    return Mix(exponent, most, powers, budget if budget is not None else most * powers)
+
+
+def sums_of(totals: np.ndarray, times: np.ndarray) -> Sums:
+    """From totals on the driver, each standing for ``times`` sources."""
+    share = totals / totals.max() if len(totals) else totals
+    log = np.log(share)
+
+    def sums(exponents: Sequence[float]) -> list[tuple[float, float]]:
+        powers = [times * share**a for a in exponents]
+        return [(float(p.sum()), float((p * log).sum())) for p in powers]
+
+    return sums
+
+
+def sums_in(sizes: DataFrame, most: int) -> Sums:
+    """From a table of ``total`` and ``times``, by one aggregation a call."""
+    share = F.col("total") / F.lit(float(most))
+
+    def sums(exponents: Sequence[float]) -> list[tuple[float, float]]:
+        powers = [F.col("times") * F.pow(share, F.lit(float(a))) for a in exponents]
+        row = sizes.agg(*(F.sum(x) for p in powers for x in (p, p * F.log(share)))).collect()[0]
+        return list(zip(row[::2], row[1::2]))
 
+    return sums
 
-def plan(docs: DataFrame, **options) -> Mix:
-    """The mix of ``docs`` by their ``source`` and ``text``."""
-    rows = docs.groupBy("source").agg(F.sum(tokens()).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return temper({source: n for source, n in rows}, **options)
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, n_tokens, text, copies`` of each different row, ``text`` as a hash; written once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens().alias("n_tokens"), F.xxhash64("text").alias("text"))
+    return checkpointed(rows.groupBy("doc_id", "source", "n_tokens", "text").agg(F.count("*").alias("copies")))
 
-def per_source(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``source, weight, budget`` as a DataFrame of ``MAX_SOURCES`` rows at most."""
-    rows = [(s, mix.weights[s], mix.budgets[s]) for s in mix.weights]
-    return docs.sparkSession.createDataFrame(rows, "source string, weight double, budget double")
 
+def totals_of(rows: DataFrame) -> DataFrame:
+    """``source, total`` of ``counted`` rows; written once."""
+    return checkpointed(rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total")))
 
-def draws(docs: DataFrame, mix: Mix, seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+
+def plan(totals: DataFrame, **options) -> Mix:
+    """The mix of sources with these totals."""
+    sizes = totals.where("total > 0").groupBy("total").agg(F.count("*").alias("times"))
+    n, least, most = sizes.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.min("total"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).collect()[0]
+    few = sizes.limit(MAX_TOTALS + 1).collect()
+    if len(few) <= MAX_TOTALS:
+        few.sort()
+        return temper(n, least, most, sums_of(np.array([r.total for r in few], float), np.array([r.times for r in few], float)), **options)
+    return temper(n, least, most, sums_in(checkpointed(sizes), most), **options)
+
+
+def per_source(totals: DataFrame, mix: Mix) -> DataFrame:
+    """``of, weight, budget, whole, passes`` of every source with a pass; broadcast if there are ``MAX_SOURCES`` at most.
+
+    A source without any token has one whole pass.
+    """
+    weighed = totals.select(F.col("source").alias("of"), mix.weight(F.col("total")).alias("weight"), "total").withColumn("budget", F.col("weight") * F.lit(float(mix.budget)))
+    many = F.coalesce(F.col("budget") / F.nullif("total", F.lit(0)), F.lit(1.0))
+    known = checkpointed(weighed.select("of", "weight", "budget", F.floor(many + 1e-9).alias("whole"), F.ceil(many - 1e-9).alias("passes")).where("passes > 0"))
+    return F.broadcast(known) if known.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else known
+
+
+def drawn(rows: DataFrame, totals: DataFrame, mix: Mix, seed: int = SEED) -> DataFrame:
+    """``counted`` rows as often as passes begin: with ``epoch, draw, at, budget, whole, weight``.
+
+    ``at`` is the number of the source's tokens before a row's first copy.
+    """
+    passed = rows.join(per_source(totals, mix), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("epoch", F.expr("explode(sequence(0, cast(passes as int) - 1))"))
+    keyed = passed.withColumn("draw", F.xxhash64(F.lit(seed), "epoch", "doc_id", "text")).withColumn("piece", F.shiftright("draw", 64 - PIECE_BITS).cast("int")).withColumn("n", F.col("n_tokens") * F.col("copies"))
+    pieces = keyed.groupBy("source", "epoch", "piece").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("source").orderBy("epoch", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("piece").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("source", "epoch", "piece").orderBy("draw", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("piece") == F.col("p")))
+    return placed.withColumn("at", F.col("start") + F.col("inside"))
+
+
+def draws(docs: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **options) -> DataFrame:
     """``doc_id, source, n_tokens, epoch, weight, at, block, draw`` of every time that a row is drawn.
 
     ``at`` is the number of the source's tokens before it, ``draw`` the order inside a block; sort
     by ``block, draw`` to read the mix. A row is drawn as long as its source's budget isn't used up
-    when it starts, and in every whole pass. Rows without tokens are drawn in whole passes; a
-    source without any token has one. Null sources are a source. Rows that repeat a doc_id are told
-    apart by their texts' hashes, exact repeats follow each other.
+    when it starts, and in every whole pass. Rows without tokens (null, empty or blank texts) are
+    drawn in whole passes; a source without any token has one. Null sources are a source, null
+    doc_ids a doc_id. Rows that repeat a doc_id are told apart by their texts' hashes, exact repeats
+    follow each other. An empty table gives no row; of other columns none is read.
+    ``options`` are those of ``temper``.
     """
-    rows = docs.select("doc_id", "source", tokens().alias("n_tokens"), F.xxhash64("text").alias("__text"))
-    totals = rows.groupBy("source").agg(F.sum("n_tokens").alias("total"))
-    sources = F.broadcast(per_source(docs, mix).withColumnRenamed("source", "__source"))
-    sized = F.broadcast(totals.withColumnRenamed("source", "__name"))  # MAX_SOURCES rows at most, as in plan()
-    many = F.greatest(F.coalesce(F.col("budget") / F.nullif("total", F.lit(0)), F.lit(1.0)), F.lit(0.0))
-    known = sources.join(sized, F.col("__source").eqNullSafe(F.col("__name"))).select("__source", "weight", "budget", "total", F.floor(many + 1e-9).alias("whole"), F.ceil(many - 1e-9).alias("passes"))
-    known = F.broadcast(checkpointed(known))
-    drawn = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).where("passes > 0").withColumn("epoch", F.expr("explode(sequence(0, cast(passes as int) - 1))"))
-    drawn = drawn.withColumn("draw", F.xxhash64(F.lit(seed), "epoch", "doc_id", "__text")).withColumn("__piece", F.shiftright("draw", 64 - PIECE_BITS).cast("int"))
-    pieces = drawn.groupBy("source", "epoch", "__piece").agg(F.sum("n_tokens").alias("__n"))
-    before = Window.partitionBy("source").orderBy("epoch", "__piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select(F.col("source").alias("__s"), F.col("epoch").alias("__e"), F.col("__piece").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("source", "epoch", "__piece").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = drawn.withColumn("__in", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("epoch") == F.col("__e")) & (F.col("__piece") == F.col("__p")))
-    placed = placed.withColumn("at", F.col("__start") + F.col("__in")).where((F.col("epoch") < F.col("whole")) | (F.col("at") < F.col("budget")))
+    rows = counted(docs)
+    totals = totals_of(rows)
+    mix = plan(totals, **options)
+    placed = drawn(rows, totals, mix, seed)
+    # Copies are dealt out in two steps, so that no array is long.
+    parts = placed.withColumn("part", F.expr(f"explode(sequence(0L, (copies - 1) div {COPIES}))"))
+    copies = parts.withColumn("copy", F.expr(f"explode(sequence(part * {COPIES}, least(copies, (part + 1) * {COPIES}) - 1))"))
+    each = copies.withColumn("at", F.col("at") + F.col("copy") * F.col("n_tokens")).where((F.col("epoch") < F.col("whole")) | (F.col("at") < F.col("budget")))
     blocks = max(1, math.ceil(mix.budget / block_tokens))
     block = F.coalesce(F.least(F.floor(F.col("at") / F.nullif("budget", F.lit(0.0)) * blocks), F.lit(blocks - 1)), F.lit(0)).cast("long")
-    return placed.select("doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "weight", "at", block.alias("block"), "draw")
+    return each.select("doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "weight", "at", block.alias("block"), "draw")
 
 
-def mixture(docs: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **options) -> DataFrame:
-    """``draws`` of the mix that ``docs`` get under ``options`` of ``temper``."""
-    return draws(docs, plan(docs, **options), seed, block_tokens)
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """``draws`` under the name of the operator."""
+    return draws(docs, **options)
 
 
 def mixed(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The rows of ``docs``, each as often as it is drawn, with their columns.
 
     What is drawn in the last pass of a source is a run of the pass's order, so one limit per
-    source and epoch says it all: the texts are only read, never shuffled.
+    source and epoch says it all: the texts are only read, never shuffled. Repeats of the last row
+    of a run are all drawn. Nulls, ties, repeated rows and empty tables fare as in ``draws``; other
+    columns pass through, whatever their names.
     """
-    mix = plan(docs, **options)
-    last = draws(docs, mix, seed).groupBy("source", "epoch").agg(F.max(F.struct("draw", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("__last"))
-    last = F.broadcast(checkpointed(last.select(F.col("source").alias("__source"), F.col("epoch").alias("__epoch"), "__last")))  # MAX_SOURCES x passes rows at most
-    draw = F.struct(F.xxhash64(F.lit(seed), "__epoch", "doc_id", F.xxhash64("text")).alias("draw"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    return docs.join(last, F.col("source").eqNullSafe(F.col("__source"))).where(draw <= F.col("__last")).select(*(docs[c] for c in docs.columns))
+    rows = counted(docs)
+    totals = totals_of(rows)
+    placed = drawn(rows, totals, plan(totals, **options), seed).where((F.col("epoch") < F.col("whole")) | (F.col("at") < F.col("budget")))
+    place = lambda draw, doc_id, text: F.struct(draw.alias("draw"), F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
+    last = checkpointed(placed.groupBy(F.col("source").alias("of"), F.col("epoch").alias("pass")).agg(F.max(place(F.col("draw"), F.col("doc_id"), F.col("text"))).alias("last")))
+    last = F.broadcast(last) if last.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else last
+    row = F.col("row")
+    met = packed(docs).join(last, row["source"].cast("string").eqNullSafe(F.col("of")))
+    own = place(F.xxhash64(F.lit(seed), "pass", row["doc_id"].cast("long"), F.xxhash64(row["text"])), row["doc_id"], F.xxhash64(row["text"]))
+    return unpacked(met.where(own <= F.col("last")), docs.columns)
