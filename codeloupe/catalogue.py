@@ -296,7 +296,7 @@ def caller_resolution(refs, spans):
 
 @query(
     """SELECT s.file_path, s.ord, s.name, coalesce(arg_max(c.name, c.ord), '') AS parent FROM {spans} s LEFT JOIN {spans} c
-    ON c.repo_id = s.repo_id AND c.file_path = s.file_path AND c.type = 'class' AND c.ord < s.ord AND c.start_line <= s.start_line AND c.end_line >= s.start_line GROUP BY s.repo_id, s.file_path, s.ord, s.name""",
+    ON c.repo_id = s.repo_id AND c.file_path = s.file_path AND c.type = 'class' AND c.ord < s.ord AND c.start_line <= s.start_line AND c.end_line >= s.start_line AND s.type <> 'function' GROUP BY s.repo_id, s.file_path, s.ord, s.name""",
     "spans",
 )
 def parent_assignment(spans):

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloupe.parsing.registry import CHILDREN, CONTAINERS
+
+
+#: Lines of a file that meet each other in a join, so that a file of any length is many keys.
+LINES = 128
+
+
+def band(line: str) -> Column:
+    return F.expr(f"cast({line} div {LINES} AS int)")
+
+
+def bands(start: str, end: str) -> Column:
+    """The bands that a range of lines reaches into; an empty range has none."""
+    return F.expr(f"explode(CASE WHEN {end} >= {start} THEN sequence(cast({start} div {LINES} AS int), cast({end} div {LINES} AS int)) ELSE cast(array() AS array<int>) END)")
+
 
 def resolve_callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """References with ``caller_name``: the innermost symbol around the call's line, '' at file scope.
 
     ``calls`` has ``file_path, callee_name, line``; repeated calls stay. Of symbols with the same
-    span the first in document order wins. The file is an equi-join key, the range only a residual,
-    so a file's calls meet its own symbols only; calls on a line are joined once.
+    span the first in document order wins. File and band of lines are equi-join keys, the range only
+    a residual: a line meets the symbols that reach into its band, so work grows with a file's
+    length, not with its square. Calls on a line are joined once.
     """
     keys = [c for c in ("repo_id",) if c in calls.columns and c in symbols.columns] + ["file_path"]
     lines = calls.groupBy(*keys, "line", "callee_name").agg(F.count("*").alias("__n"))
-    spans = symbols.select(*keys, F.col("name").alias("__name"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("ord").alias("ord")).alias("__key"), "start_line", "end_line")
-    at = lines.select(*keys, "line").distinct().alias("c")
+    spans = symbols.select(*keys, F.col("name").alias("__name"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("ord").alias("ord")).alias("__key"), "start_line", "end_line", bands("start_line", "end_line").alias("__band"))
+    at = lines.select(*keys, "line", band("line").alias("__band")).distinct().alias("c")
     s = spans.alias("s")
-    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in keys]
+    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in (*keys, "__band")]
     inside = at.join(s, [*same, F.col("line").between(F.col("start_line"), F.col("end_line"))])
     around = inside.groupBy(*(F.col(f"c.{k}").alias(k) for k in keys), F.col("c.line").alias("line")).agg(F.min_by("__name", "__key").alias("caller_name"))
     found = lines.join(around, [*keys, "line"], "left").withColumn("caller_name", F.coalesce("caller_name", F.lit("")))
@@ -26,15 +42,16 @@ def resolve_callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return again.select(*keys[:-1], F.col("file_path").alias("caller_file"), "caller_name", "callee_name", "line")
 
 
-def assign_parents(symbols: DataFrame, containers: tuple[str, ...] = ("class", "interface", "enum", "namespace")) -> DataFrame:
+def assign_parents(symbols: DataFrame, containers: tuple[str, ...] = CONTAINERS, children: tuple[str, ...] = CHILDREN) -> DataFrame:
     """Symbols with ``parent``: the name of the last container before it, in document order, that reaches its line.
 
-    Holds for well-nested ranges, as parsers give them. '' without a container.
+    Only types of ``children`` get one. Holds for well-nested ranges, as parsers give them. '' without
+    a container. Bands of lines bound the join as in ``resolve_callers``.
     """
     keys = [c for c in ("repo_id",) if c in symbols.columns] + ["file_path"]
-    own = symbols.drop("parent").alias("s")
-    outer = symbols.filter(F.col("type").isin(*containers)).select(*keys, F.col("ord").alias("c_ord"), F.col("name").alias("c_name"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end")).alias("c")
-    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in keys]
+    own = symbols.filter(F.col("type").isin(*children)).select(*keys, "ord", "start_line", band("start_line").alias("__band")).alias("s")
+    outer = symbols.filter(F.col("type").isin(*containers)).select(*keys, F.col("ord").alias("c_ord"), F.col("name").alias("c_name"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"), bands("start_line", "end_line").alias("__band")).alias("c")
+    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in (*keys, "__band")]
     nested = own.join(outer, [*same, F.col("c_ord") < F.col("s.ord"), F.col("c_start") <= F.col("s.start_line"), F.col("c_end") >= F.col("s.start_line")])
     parents = nested.groupBy(*(F.col(f"s.{k}").alias(k) for k in keys), F.col("s.ord").alias("ord")).agg(F.max_by("c_name", "c_ord").alias("parent"))
     return symbols.drop("parent").join(parents, [*keys, "ord"], "left").withColumn("parent", F.coalesce("parent", F.lit("")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 
 from codeloupe.functions.text import literal_words
@@ -28,8 +29,34 @@ def line_tokens(text: str) -> dict[int, list[str]]:
     return found
 
 
+#: Repairs of one file at most.
+REPAIRS = 200
+
+
+def repaired(text: str) -> tuple[str, ast.Module]:
+    """A text and its tree; lines that are no Python are made blank, so that the rest keeps its line numbers."""
+    text = text.replace("\0", " ").removeprefix("\ufeff")
+    for _ in range(REPAIRS):
+        try:
+            return text, ast.parse(text)
+        except SyntaxError as error:
+            lines = text.split("\n")
+            empty = re.search(r"after .* on line (\d+)", error.msg) if isinstance(error, IndentationError) else None
+            at = min(max((int(empty[1]) if empty else error.lineno or 1) - 1, 0), len(lines) - 1)
+            if empty:
+                lines[at] += " pass"
+            else:
+                while at and not lines[at].strip():
+                    at -= 1
+                lines[at] = ""
+            if "\n".join(lines) == text:
+                raise
+            text = "\n".join(lines)
+    return text, ast.parse(text)
+
+
 def parse(text: str) -> Parsed:
-    tree = ast.parse(text)
+    text, tree = repaired(text)
     found = Parsed()
     tokens = line_tokens(text)
     chosen: list[tuple[ast.AST, str]] = [(n, "class" if isinstance(n, ast.ClassDef) else "function") for n in tree.body if isinstance(n, (*FUNCTIONS, ast.ClassDef))]

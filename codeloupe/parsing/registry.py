@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from codeloupe.model import PARSED
 
@@ -22,6 +25,8 @@ EXTENSIONS = {
 SKIPPED = ("node_modules", "vendor")
 #: Types of symbols that can be a parent.
 CONTAINERS = ("class", "interface", "enum", "namespace")
+#: Types of symbols that get a parent; functions, constructors among them, and type aliases have none.
+CHILDREN = (*CONTAINERS, "method", "variable")
 
 
 @dataclass
@@ -32,8 +37,6 @@ class Symbol:
     end_line: int
     parent: str = ""
     tokens: list[str] = field(default_factory=list)
-    #: Gets no parent, whatever it stands in.
-    alone: bool = False
 
 
 @dataclass
@@ -54,7 +57,7 @@ def register(language: str, parser: Callable[[str], Parsed], *extensions: str) -
 
 
 def with_parents(symbols: list[Symbol]) -> list[Symbol]:
-    """Gives each symbol the last container before it that reaches its line.
+    """Gives each symbol of ``CHILDREN`` the last container before it that reaches its line.
 
     Nested namespaces are named in full: a namespace inside another one gets its name in front, and
     so do the parents of what is in it.
@@ -64,7 +67,7 @@ def with_parents(symbols: list[Symbol]) -> list[Symbol]:
     for k, s in enumerate(symbols):
         while open_ and open_[-1][1].end_line < s.start_line:
             open_.pop()
-        if open_ and not s.alone:
+        if open_ and s.type in CHILDREN:
             i, outer = open_[-1]
             s.parent = full.get(i, outer.name)
         if s.type in CONTAINERS:
@@ -105,17 +108,25 @@ def finished(found: Parsed) -> Parsed:
 def parser_udf():
     """A column function of path, language and content that gives a ``PARSED`` struct; an error is a value.
 
-    The parsers registered by now travel with it.
+    Files travel in Arrow batches. The parsers registered by now travel with it.
     """
     known = dict(parsers())
 
-    @F.udf(PARSED, useArrow=False)
-    def parse_file(path: str, language: str, content: bytes):
+    def parse_file(language: str, content: bytes) -> dict:
         try:
-            found = finished(known[language](bytes(content).decode("utf-8", "replace")))
+            found = finished(known[language]((content or b"").decode("utf-8", "replace")))
         except Exception as error:  # one bad file must not end the run
-            return [], [], [], f"{type(error).__name__}: {error}"
-        symbols = [(k, s.name, s.type, s.start_line, s.end_line, s.parent, sorted(set(s.tokens))) for k, s in enumerate(found.symbols)]
-        return symbols, [(k, name, line) for k, (name, line) in enumerate(found.calls)], found.imports, None
-
-    return parse_file.asNondeterministic()  # else filters on its result would run it again
+            return {"symbols": [], "calls": [], "imports": [], "error": f"{type(error).__name__}: {error}"}
+        return {
+            "symbols": [{"ord": k, "name": s.name, "type": s.type, "start_line": s.start_line, "end_line": s.end_line, "parent": s.parent, "body_tokens": sorted(set(s.tokens))} for k, s in enumerate(found.symbols)],
+            "calls": [{"ord": k, "callee_name": name, "line": line} for k, (name, line) in enumerate(found.calls)],
+            "imports": [{"import_path": path, "alias": alias, "line": line} for path, alias, line in found.imports],
+            "error": None,
+        }
+
+    @F.arrow_udf(PARSED)
+    def parse_files(path: pa.Array, language: pa.Array, content: pa.Array) -> pa.Array:
+        kind = to_arrow_type(_parse_datatype_string(PARSED))
+        return pa.array([parse_file(*row) for row in zip(language.to_pylist(), content.to_pylist())], kind)
+
+    return parse_files.asNondeterministic()  # else filters on its result would run it again

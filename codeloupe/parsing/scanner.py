@@ -29,7 +29,7 @@ PAIRS = {"(": ")", "[": "]", "{": "}"}
 KEYWORDS = {
     "go": "if for switch return func case go defer select range else type var const struct interface map chan import package",
     "javascript": "if for while switch return function catch with case do else try throw typeof instanceof in of as new await yield let var const class super import export void delete async from",
-    "csharp": "if for foreach while switch return catch case do else try throw typeof sizeof nameof default new await yield lock using fixed when is as in base this where checked unchecked and or not out ref var",
+    "csharp": "if for foreach while switch return catch case do else try throw typeof sizeof nameof default new await yield lock using fixed when is as in base this where checked unchecked and or not out ref var public private protected internal static sealed abstract partial readonly override virtual extern unsafe volatile implicit explicit operator",
     "rust": "if for while loop match return fn else let mut in as use pub impl trait struct enum mod where unsafe move async await self super crate ref dyn box",
     "swift": "if for while switch return func catch case do else try throw guard where in is as await let var init super self defer repeat some any inout",
 }
@@ -181,7 +181,9 @@ class Scan:
             after = i + 1
             if self.language == "rust" and self.at(after) == "::" and self.at(after + 1) == "<":
                 after = self.generic_end(after + 1)
-            elif self.language not in ("javascript", "rust", "go") and self.at(after) == "<":
+            elif self.language == "go" and self.at(after) == "[" and self.type_arguments(after):
+                after = self.close(after) + 1
+            elif self.language not in ("javascript", "rust", "go", "csharp") and self.at(after) == "<":
                 after = self.generic_end(after)
             if self.at(after) == "(" and self.is_call(i):
                 calls.append((x.text, x.line))
@@ -205,6 +207,11 @@ class Scan:
             k += 1
         return i
 
+    def type_arguments(self, i: int) -> bool:
+        """Whether square brackets at ``i`` hold types, as far as tokens tell: names, and what makes types of them."""
+        inside = range(i + 1, self.close(i))
+        return len(inside) > 0 and self.at(self.close(i) + 1) == "(" and all(self.kind(k) == "ident" or self.at(k) in (".", ",", "*", "[", "]") for k in inside)
+
     def is_call(self, i: int) -> bool:
         return i not in self.declared and self.at(i) not in self.keywords and self.at(i - 1) not in ("func", "function", "fn", "new", "class")
 
@@ -482,7 +489,7 @@ class CSharp(Scan):
         # A member's name is the last identifier before its ( { = ; or =>.
         while k < limit:
             x = self.at(k)
-            if x == "(" and self.kind(k - 1) == "ident" and k > i or x in ("{", ";", "=", "=>"):
+            if x == "(" and k > i and (self.kind(k - 1) == "ident" or self.at(k - 1) == ">") or x in ("{", ";", "=", "=>"):
                 break
             if x == "<":
                 after = self.generic_end(k)
@@ -494,8 +501,13 @@ class CSharp(Scan):
             else:
                 k += 1
         name = k - 1
-        if self.at(name) == ">":
-            name = next((j - 1 for j in range(name, i, -1) if self.at(j) == "<"), name)
+        if self.at(name) == ">":  # of a generic member, the name before its type parameters
+            depth = 0
+            for j in range(name, i, -1):
+                depth += (self.at(j) == ">") - (self.at(j) == "<")
+                if not depth:
+                    name = j - 1
+                    break
         x = self.at(k)
         if self.kind(name) != "ident" or name < i:
             return self.skip(k)
@@ -504,7 +516,9 @@ class CSharp(Scan):
             stop = self.find(after, "{ ; =>", limit)
             end = self.close(stop) if self.at(stop) == "{" else self.find(stop, ";", limit)
             if name == i and self.at(name) == owner.name:
-                self.add(name, "function", start, end).alone = True
+                self.add(name, "function", start, end)
+            elif self.at(name - 1) in ("~", "operator"):
+                self.declared.add(name)
             elif name > i:
                 self.add(name, "method", start, end)
             return end + 1
