@@ -35,12 +35,13 @@ class Loupe:
         return self.store.index(root, rebuild)
 
     def _table(self, root: str, name: str) -> DataFrame:
-        if self.refresh:
-            self.store.refresh(root, self.threshold)
-        return self.store.table(name, repo_id(root))
+        return self._tables(root, name)[0]
 
     def _tables(self, root: str, *names: str) -> list[DataFrame]:
-        return [self._table(root, n) for n in names]
+        """Relations of one version of the index."""
+        if self.refresh:
+            self.store.refresh(root, self.threshold)
+        return [self.store.table(n, repo_id(root)) for n in names]
 
     def symbols(self, file: str) -> dict:
         """Symbols and imports of one file, without an index."""
@@ -68,7 +69,8 @@ class Loupe:
         return [plain(r) for r in body.orderBy("file_path", "start_line").collect()]
 
     def search(self, root: str, **query) -> DataFrame:
-        return search.search_symbols(self._table(root, "symbols"), search.SearchQuery(**query))
+        symbols, index = self._tables(root, "symbols", "postings")
+        return search.search_symbols(symbols, search.SearchQuery(**query), index)
 
     def report(self, root: str) -> dict:
         files, symbols = self._tables(root, "files", "symbols")
@@ -114,7 +116,7 @@ class Loupe:
             try:
                 ws = self.workspaces.open(workspace_name)
                 links, known = ws.links(self.spark), {r["id"] for r in ws.data["repositories"]}
-                indexed = set(self.store.meta()["repos"])
+                indexed = set(self.store.repos())
                 warnings += [f"workspace link {x['id']} skipped: repository {x['dst_repo_id']} has no index" for x in ws.data["links"] if x["dst_repo_id"] not in indexed]
                 links = links.filter(F.col("dst_repo_id").isin(list(indexed)))
                 repos |= known & indexed
@@ -167,12 +169,12 @@ class Loupe:
     def _workspace_table(self, name: str, table: str) -> tuple[DataFrame, list[str]]:
         ws = self.workspaces.open(name)
         ids = [r["id"] for r in ws.data["repositories"]]
-        indexed = self.store.meta()["repos"]
+        indexed = self.store.repos()
         return self.store.table(table).filter(F.col("repo_id").isin(ids)), [f"repository {i} has no index" for i in ids if i not in indexed]
 
     def search_workspace(self, name: str = "", **query) -> tuple[DataFrame, list[str]]:
         symbols, warnings = self._workspace_table(name, "symbols")
-        return search.search_workspace(symbols, search.SearchQuery(**query)), warnings
+        return search.search_workspace(symbols, search.SearchQuery(**query), self._workspace_table(name, "postings")[0]), warnings
 
     def refs_workspace(self, name: str = "", **wanted: str) -> tuple[DataFrame, list[str]]:
         refs, warnings = self._workspace_table(name, "refs")

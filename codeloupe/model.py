@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 8
+SCHEMA_VERSION = 9
 WORKSPACE_VERSION = 3
 
 SYMBOL_TYPES = ("function", "class", "method", "interface", "type_alias", "enum", "namespace", "variable")
@@ -18,12 +18,14 @@ def _struct(text: str) -> T.StructType:
 
 
 FILES = "repo_id string, path string, language string, sha256 string, mtime timestamp, size long, indexed_at timestamp"
-SYMBOLS = "repo_id string, file_path string, ord int, name string, type string, start_line int, end_line int, parent string, name_tokens array<string>, body_tokens array<string>"
+SYMBOLS = "repo_id string, file_path string, ord int, name string, type string, start_line int, end_line int, parent string, name_tokens array<string>, body_tokens array<string>, symbol_id long, words array<array<string>>, n_words int"
 REFS = "repo_id string, caller_file string, caller_name string, callee_name string, line int"
+#: The full-text index: every token of a symbol once. ``words`` of the symbols says where it stands.
+POSTINGS = "repo_id string, token string, file_path string, symbol_id long"
 IMPORTS = "repo_id string, file_path string, import_path string, alias string, line int"
 LINKS = "id long, src_repo_id string, src_symbol string, src_file string, dst_repo_id string, dst_symbol string, dst_file string, note string, created_at timestamp, meta map<string,string>"
 REPOSITORIES = "id string, path string, added_at timestamp, last_indexed_at timestamp"
-TABLES = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "imports": IMPORTS}
+TABLES = {"files": FILES, "symbols": SYMBOLS, "refs": REFS, "imports": IMPORTS, "postings": POSTINGS}
 
 #: What a parser returns for one file.
 PARSED = (

@@ -1,9 +1,11 @@
-"""Full-text search of symbols: an inverted index, a query grammar and BM25 ranks.
-
-The index is two relations: ``postings`` (document, column, token, place) and document lengths. A
-query is phrases joined by AND, OR, NOT; each phrase becomes one filtered scan of the postings, and
-all documents are ranked by one aggregation. The statistics are those of the whole index, whatever
-filters come after.
+"""Full-text search of symbols: a stored index, a query grammar and BM25 ranks.
+
+Indexing stores each symbol's ``words`` by column and their number, and ``postings``: every token of
+a symbol once, sorted by token. A query is phrases joined by AND, OR, NOT. The postings of the
+phrases' first tokens, a filter that is pushed to the scan, name the symbols in which a phrase can
+stand; only those are read and counted. The statistics are those of the whole index, whatever
+filters come after: lengths are one stored number a symbol, and a phrase's symbols are all among
+those that were read. Without an index the same is done by tokenising the symbols.
 """
 
 from __future__ import annotations
@@ -194,7 +196,9 @@ def with_id(symbols: DataFrame) -> DataFrame:
 
 
 def tokenised(symbols: DataFrame) -> DataFrame:
-    """Symbols with ``__words``: an array of tokens for each of ``COLUMNS``."""
+    """Symbols with ``__words``: an array of tokens for each of ``COLUMNS``; stored ones where there are any."""
+    if "words" in symbols.columns:
+        return symbols.withColumn("__words", F.col("words"))
     if "name_tokens" not in symbols.columns:
         symbols = symbols.withColumn("name_tokens", split_identifier(F.col("name")))
 
@@ -207,6 +211,21 @@ def tokenised(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("__words", F.array(*(index_words(text(c)) for c in COLUMNS)))
 
 
+def with_words(symbols: DataFrame) -> DataFrame:
+    """Symbols with what the index stores of them: ``symbol_id, words, n_words``."""
+    rows = tokenised(with_id(symbols.drop("words", "n_words"))).withColumnRenamed("__words", "words")
+    return rows.withColumn("n_words", F.aggregate("words", F.lit(0), lambda n, ws: n + F.size(ws)))
+
+
+def candidates(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """``symbol_id`` of the symbols that hold the first token of one of the phrases."""
+    found = F.lit(False)
+    for p in phrases:
+        if p.tokens:
+            found = found | (F.col("token").startswith(p.tokens[0]) if p.prefix and len(p.tokens) == 1 else F.col("token") == p.tokens[0])
+    return postings.filter(found).select("symbol_id").distinct()
+
+
 def postings(symbols: DataFrame) -> DataFrame:
     """``symbol_id, col, token, place`` of every token; ``col`` is a number into ``COLUMNS``."""
     words = tokenised(with_id(symbols)).select("symbol_id", F.posexplode("__words").alias("col", "ws"))
@@ -290,21 +309,28 @@ def matches(node: Node, counts: dict[Phrase, Column]) -> Column:
     return _all(parts) & (near(node) if node.kind == "near" else F.lit(True))
 
 
-def ranked(symbols: DataFrame, query: str, by: tuple[str, ...] = ()) -> DataFrame:
+def ranked(symbols: DataFrame, query: str, by: tuple[str, ...] = (), index: DataFrame | None = None) -> DataFrame:
     """Matching symbols with ``rank``, BM25 negated: the smaller, the better.
 
-    One pass counts phrases and lengths for each symbol; the collection's statistics are one small
+    ``index`` holds the stored postings of ``symbols``: then only symbols with a query's tokens are
+    read whole. One pass counts phrases for each symbol; the collection's statistics are one small
     aggregate (for each value of ``by``), joined back by broadcast of one row.
     """
     node = parse_query(query)
-    rows = tokenised(with_id(symbols))
     if node is None:
-        return rows.withColumn("rank", F.lit(0.0)).filter(F.lit(False)).drop("__words")
+        return tokenised(with_id(symbols)).withColumn("rank", F.lit(0.0)).filter(F.lit(False)).drop("__words")
     phrases = list(dict.fromkeys(node.phrases()))
     names = {p: F.col(f"__f{k}") for k, p in enumerate(phrases)}
-    counted = rows.select("*", *(phrase_count(p).alias(f"__f{k}") for k, p in enumerate(phrases)), F.aggregate("__words", F.lit(0), lambda n, ws: n + F.size(ws)).alias("__d"))
+    own = symbols if index is None else symbols.join(candidates(index, phrases), "symbol_id", "left_semi")
+    counted = tokenised(with_id(own)).select("*", *(phrase_count(p).alias(f"__f{k}") for k, p in enumerate(phrases)), F.aggregate("__words", F.lit(0), lambda n, ws: n + F.size(ws)).alias("__d"))
     hits = [F.count_if(F.col(f"__f{k}") > 0).alias(f"__n{k}") for k in range(len(phrases))]
-    stats = counted.groupBy(*by).agg(F.count("*").alias("__N"), F.avg("__d").alias("__avg"), *hits)
+    size = [F.count("*").alias("__N"), F.avg("__d").alias("__avg")]
+    if index is None:
+        stats = counted.groupBy(*by).agg(*size, *hits)
+    else:
+        whole = symbols.select(*by, F.col("n_words").alias("__d")).groupBy(*by).agg(*size)
+        found = counted.groupBy(*by).agg(*hits)
+        stats = whole.join(found, list(by)) if by else whole.crossJoin(found)  # one row each
     joined = counted.filter(matches(node, names))
     joined = joined.join(stats, list(by)) if by else joined.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -316,11 +342,11 @@ def ranked(symbols: DataFrame, query: str, by: tuple[str, ...] = ()) -> DataFram
     return joined.withColumn("rank", -score).drop(*extra)
 
 
-def search_text(symbols: DataFrame, q, by: tuple[str, ...] = ()) -> DataFrame:
+def search_text(symbols: DataFrame, q, by: tuple[str, ...] = (), index: DataFrame | None = None) -> DataFrame:
     """Symbols that match ``q.fuzzy``, best first; the filters of ``q`` come after ranking."""
     from codeloupe.operators.search import SYMBOL_COLUMNS, every, narrowing
 
-    found = every(narrowing(q), ranked(symbols, q.fuzzy, by)).select(*by, *SYMBOL_COLUMNS, "rank", "symbol_id")
+    found = every(narrowing(q), ranked(symbols, q.fuzzy, by, index)).select(*by, *SYMBOL_COLUMNS, "rank", "symbol_id")
     if by and q.limit:
         found = found.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("rank", "file_path", "start_line", "symbol_id"))).filter(F.col("__n") <= q.limit).drop("__n")
     found = found.orderBy(*by, "rank", "file_path", "start_line", "symbol_id").drop("symbol_id")

@@ -64,13 +64,13 @@ def narrowing(q: SearchQuery) -> list[Column]:
     return found
 
 
-def search_symbols(symbols: DataFrame, q: SearchQuery) -> DataFrame:
-    """Symbols by exact or prefix name and the other filters, in the order of files and lines."""
+def search_symbols(symbols: DataFrame, q: SearchQuery, index: DataFrame | None = None) -> DataFrame:
+    """Symbols by exact or prefix name and the other filters, in the order of files and lines; full-text search uses the stored ``index``."""
     q = undotted(q)
     if q.fuzzy:
         from codeloupe.operators.fulltext import search_text
 
-        return search_text(symbols, q)
+        return search_text(symbols, q, index=index)
     conditions = narrowing(q)
     if q.name:
         conditions.append(F.col("name") == q.name)
@@ -87,9 +87,11 @@ def first_of_each(symbols: DataFrame) -> DataFrame:
     return ranked.filter("__first = 1").drop("__first")
 
 
-def search_refs(refs: DataFrame, caller_file: str = "", caller: str = "", callee: str = "") -> DataFrame:
+def search_refs(refs: DataFrame, caller_file: str = "", caller: str = "", callee: str = "", named_only: bool = False) -> DataFrame:
+    """References by file, caller and callee; ``named_only`` leaves out those at file scope."""
     wanted = {"caller_file": caller_file, "caller_name": caller, "callee_name": callee}
-    return every([F.col(k) == v for k, v in wanted.items() if v], refs).select(*wanted, "line").orderBy("caller_file", "line", "callee_name", "caller_name")
+    scope = [F.col("caller_name") != ""] if named_only else []
+    return every([*(F.col(k) == v for k, v in wanted.items() if v), *scope], refs).select(*wanted, "line").orderBy("caller_file", "line", "callee_name", "caller_name")
 
 
 def search_imports(imports: DataFrame, path: str = "", module: str = "") -> DataFrame:
@@ -111,13 +113,13 @@ def limit_per_repo(rows: DataFrame, limit: int, *order: str) -> DataFrame:
     return ranked.filter(F.col("__n") <= limit).drop("__n").orderBy("repo_id", *order)
 
 
-def search_workspace(symbols: DataFrame, q: SearchQuery) -> DataFrame:
+def search_workspace(symbols: DataFrame, q: SearchQuery, index: DataFrame | None = None) -> DataFrame:
     """``search_symbols`` over all repositories of one table, with ``repo_id``; the limit is per repository."""
     q = undotted(q)
     if q.fuzzy:
         from codeloupe.operators.fulltext import search_text
 
-        return search_text(symbols, q, by=("repo_id",))
+        return search_text(symbols, q, by=("repo_id",), index=index)
     conditions = narrowing(q)
     if q.name:
         conditions.append(F.col("name") == q.name)

@@ -110,7 +110,7 @@ def parser_udf():
 
     Files travel in Arrow batches. The parsers registered by now travel with it.
     """
-    known = dict(parsers())
+    known, kind = dict(parsers()), to_arrow_type(_parse_datatype_string(PARSED))
 
     def parse_file(language: str, content: bytes) -> dict:
         try:
@@ -126,7 +126,6 @@ def parser_udf():
 
     @F.arrow_udf(PARSED)
     def parse_files(path: pa.Array, language: pa.Array, content: pa.Array) -> pa.Array:
-        kind = to_arrow_type(_parse_datatype_string(PARSED))
         return pa.array([parse_file(*row) for row in zip(language.to_pylist(), content.to_pylist())], kind)
 
     return parse_files.asNondeterministic()  # else filters on its result would run it again

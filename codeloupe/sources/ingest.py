@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloupe.functions.text import split_identifier
+from codeloupe.operators.fulltext import with_words
 from codeloupe.operators.resolve import resolve_callers
 from codeloupe.operators.search import first_of_each
 from codeloupe.parsing.registry import EXTENSIONS, SKIPPED, parser_udf
@@ -72,21 +73,23 @@ def parsed(changed: DataFrame) -> DataFrame:
 
 
 def relations(files: DataFrame) -> dict[str, DataFrame]:
-    """The four relations of parsed files without an error."""
+    """The relations of parsed files without an error."""
     good = files.filter(F.col("parsed.error").isNull())
     symbols = good.select("repo_id", F.col("path").alias("file_path"), F.explode("parsed.symbols").alias("s")).select("repo_id", "file_path", "s.*")
     symbols = first_of_each(symbols).withColumn("name_tokens", split_identifier(F.col("name")))
+    symbols = with_words(symbols)
     calls = good.select("repo_id", F.col("path").alias("file_path"), F.explode("parsed.calls").alias("c")).select("repo_id", "file_path", "c.callee_name", "c.line")
     imports = good.select("repo_id", F.col("path").alias("file_path"), F.explode("parsed.imports").alias("i")).select("repo_id", "file_path", "i.*")
     return {
         "files": good.select("repo_id", "path", "language", "sha256", "mtime", "size", F.date_trunc("second", F.current_timestamp()).alias("indexed_at")),
-        "symbols": symbols.select("repo_id", "file_path", "ord", "name", "type", "start_line", "end_line", "parent", "name_tokens", "body_tokens"),
+        "symbols": symbols.select("repo_id", "file_path", "ord", "name", "type", "start_line", "end_line", "parent", "name_tokens", "body_tokens", "symbol_id", "words", "n_words"),
+        "postings": symbols.select("repo_id", F.explode(F.array_distinct(F.flatten("words"))).alias("token"), "file_path", "symbol_id"),
         "refs": resolve_callers(calls, symbols).select("repo_id", "caller_file", "caller_name", "callee_name", "line"),
         "imports": imports.select("repo_id", "file_path", "import_path", "alias", "line"),
     }
 
 
-FILE_KEY = {"files": "path", "symbols": "file_path", "refs": "caller_file", "imports": "file_path"}
+FILE_KEY = {"files": "path", "symbols": "file_path", "postings": "file_path", "refs": "caller_file", "imports": "file_path"}
 
 
 def upsert(table: str, stored: DataFrame, fresh: DataFrame, replaced: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""The index as Parquet: versioned folders partitioned by repository, and one pointer file.
+"""The index as Parquet: a folder for each repository and version, and a pointer file for each repository.
 
-``<root>/v<N>/<table>/repo_id=<id>/...``; ``<root>/_meta.json`` names the current version of every
-repository and is replaced atomically, so that readers see either the old or the new index. There is
-one writer at a time for a store.
+``<root>/<repo_id>/<version>/<table>`` holds the rows, ``<root>/_repos/<repo_id>.json`` names the
+current version and is replaced atomically, so that readers see either the old or the new index. The
+version before the current one is kept, so that a plan made before a new one came still runs; older
+ones go. Repositories are written independently of each other, by threads or processes; one
+repository has one writer at a time within a process. All files are reached by Hadoop's file systems.
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import subprocess
 import threading
 import uuid
+from collections import defaultdict
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 
 from codeloupe.model import SCHEMA_VERSION, TABLES, SchemaMismatchError
 from codeloupe.sources import ingest
+from codeloupe.sources.files import Files
 
-LOCK = threading.Lock()
+#: One for each pointer file.
+LOCKS: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
+#: What a table's rows are sorted by, so that row groups can be skipped.
+ORDER = {"files": "path", "symbols": "name", "refs": "callee_name", "imports": "file_path", "postings": "token"}
 
 
 def config_root() -> Path:
@@ -46,38 +52,37 @@ class Store:
     """All repositories' indexes below one folder. Reading never writes."""
 
     def __init__(self, spark: SparkSession, root: str | Path | None = None):
-        self.spark, self.root = spark, Path(root or config_root() / "indexes")
-
-    @property
-    def meta_path(self) -> Path:
-        return self.root / "_meta.json"
-
-    def meta(self) -> dict:
-        """The store's metadata; SchemaMismatchError if another schema version wrote it. No version is accepted."""
-        if not self.meta_path.exists():
-            return {"repos": {}}
-        found = json.loads(self.meta_path.read_text())
-        if found.get("version", SCHEMA_VERSION) != SCHEMA_VERSION:
+        self.spark, self.root = spark, str(root or config_root() / "indexes").rstrip("/")
+        self.files = Files(spark, self.root)
+
+    def pointer(self, repo: str) -> str:
+        return f"{self.root}/_repos/{repo}.json"
+
+    def current(self, repo: str, checked: bool = True) -> dict | None:
+        """What a repository's pointer says; SchemaMismatchError if another schema version wrote it. No version is accepted."""
+        if not self.files.exists(self.pointer(repo)):
+            return None
+        found = json.loads(self.files.read(self.pointer(repo)))
+        if checked and found.get("version", SCHEMA_VERSION) != SCHEMA_VERSION:
             raise SchemaMismatchError(found["version"], SCHEMA_VERSION)
         return found
 
-    def _publish(self, repos: dict) -> None:
-        self.root.mkdir(parents=True, exist_ok=True)
-        new = self.meta_path.with_suffix(f".{uuid.uuid4().hex}")
-        new.write_text(json.dumps({"version": SCHEMA_VERSION, "repos": repos}, indent=1))
-        os.replace(new, self.meta_path)
+    def repos(self) -> dict[str, dict]:
+        """The pointers of all repositories by id."""
+        names = [n.removesuffix(".json") for n in self.files.names(f"{self.root}/_repos") if n.endswith(".json") and not n.startswith(".")]
+        return {n: found for n in names if (found := self.current(n))}
 
     def table(self, name: str, repo: str | None = None) -> DataFrame:
         """A relation of one repository or of all."""
-        repos = self.meta()["repos"]
-        paths = [str(self.root / m["folder"] / name) for r, m in repos.items() if repo in (None, r)]
+        pointers = self.repos().values() if repo is None else filter(None, [self.current(repo)])
+        paths = [f"{self.root}/{p['folder']}/{name}" for p in pointers]
         if not paths:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*paths)
 
     def last_indexed(self, repo: str) -> datetime | None:
-        at = self.meta()["repos"].get(repo, {}).get("last_indexed_at")
-        return datetime.fromisoformat(at) if at else None
+        found = self.current(repo)
+        return datetime.fromisoformat(found["last_indexed_at"]) if found else None
 
     def should_refresh(self, repo: str, threshold: timedelta = timedelta(seconds=10), now: datetime | None = None) -> bool:
         """Whether an index is missing or older than the threshold; a negative threshold is zero."""
@@ -85,58 +90,63 @@ class Store:
         return last is None or (now or datetime.now(UTC)) - last > max(threshold, timedelta(0))
 
     def drop(self, root: str) -> None:
-        """Removes a repository's index; nothing happens if it has none."""
-        repos = self.meta_unchecked()
-        if gone := repos.pop(repo_id(root), None):
-            self._publish(repos)
-            shutil.rmtree(self.root / gone["folder"], ignore_errors=True)
+        """Removes a repository's index, also one of another schema version; nothing happens if it has none."""
+        with LOCKS[self.pointer(repo_id(root))]:
+            self._drop(repo_id(root))
 
-    def meta_unchecked(self) -> dict:
-        return json.loads(self.meta_path.read_text()).get("repos", {}) if self.meta_path.exists() else {}
+    def _drop(self, repo: str) -> None:
+        if self.files.exists(self.pointer(repo)):
+            self.files.delete(self.pointer(repo))
+            self.files.delete(f"{self.root}/{repo}")
 
     def index(self, root: str, rebuild: bool = False) -> dict:
         """Brings a repository's index up to date; its counts by status, and the errors by file.
 
-        A file that can't be parsed is reported and keeps its old rows.
+        A file that can't be parsed is reported and keeps its old rows. Files of a new time or size
+        are hashed, and parsed only if their hash is new.
         """
-        with LOCK:
+        full, repo = os.path.abspath(root), repo_id(root)
+        with LOCKS[self.pointer(repo)]:
             if rebuild:
-                self.drop(root)
-            full, repo = os.path.abspath(root), repo_id(root)
-            repos = self.meta()["repos"]
+                self._drop(repo)
+            before = self.current(repo)
             stored = {t: self.table(t, repo) for t in TABLES}
             listed = ingest.listing(self.spark, full, repo)
             compared = ingest.compare(stored["files"], listed.drop("content")).cache()
-            files = ingest.parsed(ingest.hashed(compared, listed)).drop("content").cache()
+            changed = ingest.parsed(ingest.hashed(compared, listed).filter("status <> 'unchanged'")).drop("content").cache()
             try:
                 counts = dict.fromkeys(ingest.STATUSES, 0)
-                for status, n in compared.filter(F.col("status").isin("unchanged", "removed")).groupBy("status").count().collect():
-                    counts[status] += n
-                failed = (F.col("parsed.error").isNotNull()) & (F.col("status") != "unchanged")
-                for status, n in files.groupBy(F.when(failed, "error").otherwise(F.col("status")).alias("status")).count().collect():
-                    counts[status] += n
-                errors = [{"path": p, "error": e} for p, e in files.filter(failed).select("path", "parsed.error").orderBy("path").collect()]
-                now = datetime.now(UTC).replace(microsecond=0)
-                if repo not in repos or counts["added"] or counts["updated"] or counts["removed"]:
-                    changed = files.filter((F.col("status") != "unchanged") & F.col("parsed.error").isNull())
-                    replaced = changed.select("repo_id", "path").unionByName(compared.filter("status = 'removed'").select("repo_id", "path"))
+                for status, n in compared.groupBy("status").count().collect():
+                    counts[status] = n
+                failed = F.col("parsed.error").isNotNull()
+                read = {(status, bad): n for status, bad, n in changed.groupBy("status", failed.alias("bad")).count().collect()}
+                good, bad = ({s: read.get((s, x), 0) for s in ("added", "updated")} for x in (False, True))
+                # A candidate that isn't read has its old hash.
+                counts["unchanged"] += counts.pop("candidate", 0) - good["updated"] - bad["updated"]
+                counts |= good | {"error": sum(bad.values())}
+                errors = [{"path": p, "error": e} for p, e in changed.filter(failed).select("path", "parsed.error").orderBy("path").collect()] if counts["error"] else []
+                folder = before["folder"] if before else None
+                if folder is None or counts["added"] or counts["updated"] or counts["removed"]:
+                    fresh_files = changed.filter(F.col("parsed.error").isNull())
+                    replaced = fresh_files.select("repo_id", "path").unionByName(compared.filter("status = 'removed'").select("repo_id", "path"))
                     folder = f"{repo}/{uuid.uuid4().hex}"
-                    for name, fresh in ingest.relations(changed).items():
-                        order = ingest.FILE_KEY[name] if name in ("files", "imports") else "name" if name == "symbols" else "callee_name"
-                        # Sorted by what is looked up, so that row groups can be skipped.
-                        ingest.upsert(name, stored[name], fresh, replaced).sortWithinPartitions(order).write.parquet(str(self.root / folder / name))
-                else:
-                    folder = repos[repo]["folder"]
-                before = repos.get(repo)
-                repos[repo] = {"root": full, "folder": folder, "git_head": git_head(full), "last_indexed_at": now.isoformat()}
-                self._publish(repos)
-                if before and before["folder"] != folder:
-                    shutil.rmtree(self.root / before["folder"], ignore_errors=True)
+                    for name, fresh in ingest.relations(fresh_files).items():
+                        ingest.upsert(name, stored[name], fresh, replaced).sortWithinPartitions(ORDER[name]).write.parquet(f"{self.root}/{folder}/{name}")
+                self._publish(repo, full, folder, before)
                 return counts | {"errors": errors}
             finally:
-                files.unpersist()
+                changed.unpersist()
                 compared.unpersist()
 
+    def _publish(self, repo: str, full: str, folder: str, before: dict | None) -> None:
+        moved = bool(before) and before["folder"] != folder
+        kept = before["folder"] if moved else before.get("kept", "") if before else ""
+        now = datetime.now(UTC).replace(microsecond=0)
+        pointer = {"version": SCHEMA_VERSION, "root": full, "folder": folder, "kept": kept, "git_head": git_head(full), "last_indexed_at": now.isoformat()}
+        self.files.replace(self.pointer(repo), json.dumps(pointer, indent=1), f"{self.root}/_repos/.{repo}.{uuid.uuid4().hex}")
+        if moved and before.get("kept"):
+            self.files.delete(f"{self.root}/{before['kept']}")
+
     def refresh(self, root: str, threshold: timedelta = timedelta(seconds=10)) -> bool:
         """Indexes a repository if its index is stale; whether it did."""
         if not self.should_refresh(repo_id(root), threshold):
