@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,17 @@ RELATIONS = {
         CASE WHEN p_partkey % 2 = 0
         THEN concat('import ', lower(p_type), chr(10), 'class C', p_size, ':', chr(10), '    def ', replace(p_name, ' ', '_'), p_size, '(self):', chr(10), '        return self.call_', p_partkey % 50, '(1)', chr(10), 'late()', chr(10))
         ELSE concat('package p', chr(10), 'import "', lower(p_type), '"', chr(10), 'type C', p_size, ' struct ', chr(123), chr(10), chr(125), chr(10), 'func ', replace(p_name, ' ', '_'), p_size, '() ', chr(123), chr(10), '  call_', p_partkey % 50, '()', chr(10), chr(125), chr(10)) END AS content FROM {part}""",
+    "more": """SELECT repo_id, concat(path, extension) AS path, language, fn, cls, callee, module, CASE language
+        WHEN 'javascript' THEN concat('import x from "', module, '";', chr(10), 'class ', cls, ' ', chr(123), chr(10), '  ', fn, '() ', chr(123), ' return ', callee, '(1); ', chr(125), chr(10), chr(125), chr(10), 'const v = handler;', chr(10))
+        WHEN 'typescript' THEN concat('import ', chr(123), ' a ', chr(125), ' from "', module, '";', chr(10), 'export interface ', cls, ' ', chr(123), ' x: number ', chr(125), chr(10), 'export type T = ', chr(123), ' y: string ', chr(125), ';', chr(10),
+            'namespace N ', chr(123), chr(10), '  export function ', fn, '(a: number): void ', chr(123), ' ', callee, '(a); ', chr(125), chr(10), chr(125), chr(10))
+        WHEN 'tsx' THEN concat('import ', chr(123), ' a ', chr(125), ' from "', module, '";', chr(10), 'export function ', fn, '() ', chr(123), chr(10), '  return (<', cls, '><Button onClick=', chr(123), '() => ', callee, '()', chr(125), ' /></', cls, '>);', chr(10), chr(125), chr(10))
+        WHEN 'csharp' THEN concat('using System.', module, ';', chr(10), 'namespace N ', chr(123), chr(10), 'class ', cls, ' ', chr(123), chr(10), '  public List<T> ', fn, '<T>(T x) ', chr(123), ' return ', callee, '(x); ', chr(125), chr(10),
+            '  public string Name ', chr(123), ' get; set; ', chr(125), chr(10), chr(125), chr(10), chr(125), chr(10))
+        WHEN 'rust' THEN concat('use std::', module, ';', chr(10), 'pub struct ', cls, ' ', chr(123), ' a: i32 ', chr(125), chr(10), 'impl ', cls, ' ', chr(123), chr(10), '  fn ', fn, '(&self) ', chr(123), ' ', callee, '(1); ', chr(125), chr(10), chr(125), chr(10))
+        ELSE concat('import ', module, chr(10), 'class ', cls, ' ', chr(123), chr(10), '  func ', fn, '(_ n: Int) -> Int ', chr(123), ' return ', callee, '(n) ', chr(125), chr(10), chr(125), chr(10)) END AS content
+        FROM (SELECT repo_id, path, fn, concat('C', p_size) AS cls, callee, module, CASE p_partkey % 6 WHEN 0 THEN 'javascript' WHEN 1 THEN 'typescript' WHEN 2 THEN 'tsx' WHEN 3 THEN 'csharp' WHEN 4 THEN 'rust' ELSE 'swift' END AS language,
+            CASE p_partkey % 6 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' WHEN 2 THEN '.tsx' WHEN 3 THEN '.cs' WHEN 4 THEN '.rs' ELSE '.swift' END AS extension FROM {sources}) s""",
     "stored": """SELECT 'r0' AS repo_id, concat('u', user_id, '.py') AS path, date_trunc('second', max(ts)) AS mtime, CAST(count(*) AS BIGINT) AS size, 'x' AS sha256
         FROM {events} WHERE ts < TIMESTAMP '2024-01-20 00:00:00' AND user_id % 10 <> 3 GROUP BY user_id""",
     "listed": """SELECT 'r0' AS repo_id, concat('u', user_id, '.py') AS path, date_trunc('second', max(ts)) AS mtime, CAST(count(*) AS BIGINT) AS size
@@ -169,9 +181,14 @@ def search_dedupe(rows):
     return search.first_of_each(ordered).select("file_path", "name", "type", "start_line", "l_suppkey", "l_partkey")
 
 
-@query(f"SELECT caller_file, caller_name, callee_name, line FROM {{refs}} WHERE callee_name = '{NAME}' AND caller_name <> ''", "refs")
+@query(f"SELECT caller_file, caller_name, callee_name, line FROM {{refs}} WHERE caller_name = '{NAME}'", "refs")
 def refs_filter(refs):
-    return search.search_refs(refs, callee=NAME).filter("caller_name <> ''")
+    return search.search_refs(refs, caller=NAME)
+
+
+@query(f"SELECT caller_file, caller_name, callee_name, line FROM {{refs}} WHERE caller_name = '{NAME}' AND callee_name = 'red_widget_7'", "refs")
+def refs_filter_both(refs):
+    return search.search_refs(refs, caller=NAME, callee="red_widget_7")
 
 
 @query("SELECT file_path, import_path, alias, line FROM {imports} WHERE import_path = '/the'", "imports")
@@ -402,8 +419,8 @@ def ingest_hash_skip(listed):
 
 @query("SELECT repo_id, max(indexed_at) AS last_indexed, max(indexed_at) < TIMESTAMP '2001-08-01 00:00:00' AS stale FROM {files} GROUP BY repo_id", "files")
 def freshness(files):
-    last = files.groupBy("repo_id").agg(F.max("indexed_at").alias("last_indexed"))
-    return last.withColumn("stale", F.lit("2001-08-01 00:00:10").cast("timestamp") - F.col("last_indexed") > F.expr("INTERVAL 10 SECONDS"))
+    last = files.groupBy("repo_id").agg(F.max("indexed_at").cast("timestamp").alias("last_indexed"))
+    return ingest.staleness(last, datetime(2001, 8, 1, 0, 0, 10, tzinfo=UTC), timedelta(seconds=10))
 
 
 @query("SELECT c_name, concat(c_mktsegment, '-', substr(sha256(concat('/src/', c_name, '/', c_mktsegment)), 1, 8)) AS repo_id FROM customer", "customer")
@@ -416,10 +433,13 @@ def extension_language(files):
     return files.select("path", ingest.language_of(F.col("path")).alias("language"))
 
 
-@query("SELECT doc_id, concat(array_to_string(list_slice(string_split(rtrim(text, chr(10)), chr(10)), 2, 3), chr(10)), chr(10)) AS body FROM documents WHERE len(string_split(rtrim(text, chr(10)), chr(10))) >= 2 AND NOT contains(text, chr(13)) AND NOT ends_with(text, concat(chr(10), chr(10)))", "documents")
+@query(
+    """WITH x AS (SELECT doc_id, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS lines FROM documents)
+    SELECT doc_id, CASE WHEN len(lines) < 2 THEN '' ELSE concat(array_to_string(list_transform(list_slice(lines, 2, 3), lambda l: CASE WHEN ends_with(l, chr(13)) THEN left(l, length(l) - 1) ELSE l END), chr(10)), chr(10)) END AS body FROM x""",
+    "documents",
+)
 def symbol_body_slice(documents):
-    rows = documents.filter(~F.col("text").contains("\r") & ~F.col("text").endswith("\n\n")).select("doc_id", text.line_slice(F.col("text"), F.lit(2), F.lit(3)).alias("body"))
-    return rows.filter("body <> ''")
+    return documents.select("doc_id", text.line_slice(F.col("text"), F.lit(2), F.lit(3)).alias("body"))
 
 
 def extracted(sources: DataFrame, table: str) -> DataFrame:
@@ -446,6 +466,58 @@ def extract_refs(sources):
     return extracted(sources, "refs").select("caller_file", "caller_name", "callee_name", "line")
 
 
+@query(
+    """SELECT path AS file_path, concat('C', p_size) AS name, CASE language WHEN 'go' THEN concat('C', p_size) ELSE array_to_string(list_sort(['self', fn, callee, concat('C', p_size)]), ' ') END AS tokens FROM {sources}
+    UNION ALL SELECT path, fn, array_to_string(list_sort(CASE language WHEN 'go' THEN [fn, callee] ELSE ['self', fn, callee] END), ' ') FROM {sources}""",
+    "sources",
+)
+def extract_tokens(sources):
+    return extracted(sources, "symbols").select("file_path", "name", F.array_join(F.array_sort("body_tokens"), " ").alias("tokens"))
+
+
+#: What the other languages' sources hold: name, type, first and last line, parent.
+MORE = {
+    "javascript": [("cls", "class", 2, 4, ""), ("fn", "method", 3, 3, "cls")],
+    "typescript": [("cls", "interface", 2, 2, ""), ("'T'", "type_alias", 3, 3, ""), ("'N'", "namespace", 4, 6, ""), ("fn", "function", 5, 5, "")],
+    "tsx": [("fn", "function", 2, 4, "")],
+    "csharp": [("'N'", "namespace", 2, 7, ""), ("cls", "class", 3, 6, "'N'"), ("fn", "method", 4, 4, "cls"), ("'Name'", "variable", 5, 5, "cls")],
+    "rust": [("cls", "class", 2, 2, ""), ("fn", "method", 4, 4, "")],
+    "swift": [("cls", "class", 2, 4, ""), ("fn", "method", 3, 3, "cls")],
+}
+#: And their references: caller, callee and line.
+MORE_REFS = {
+    "javascript": [("fn", "callee", 3), ("''", "'handler'", 5)],
+    "typescript": [("fn", "callee", 5)],
+    "tsx": [("fn", "callee", 3), ("fn", "cls", 3), ("fn", "'Button'", 3)],
+    "csharp": [("fn", "callee", 4)],
+    "rust": [("fn", "callee", 4)],
+    "swift": [("fn", "callee", 3)],
+}
+
+
+def expected(table: dict[str, list[tuple]], names: list[str]) -> str:
+    """DuckDB: what the sources of each language hold, one row for each entry."""
+    shown = lambda v: f"CAST({v} AS INT)" if isinstance(v, int) else v or "''"
+    kinds = {"class", "method", "interface", "type_alias", "namespace", "function", "variable"}
+    value = lambda v: f"'{v}'" if v in kinds else shown(v)
+    return " UNION ALL ".join(f"SELECT path AS file_path, {', '.join(f'{value(v)} AS {n}' for v, n in zip(row, names))} FROM {{more}} WHERE language = '{language}'" for language, rows in table.items() for row in rows)
+
+
+@query(expected(MORE, ["name", "type", "start_line", "end_line", "parent"]), "more")
+def extract_symbols_languages(more):
+    return extracted(more, "symbols").select("file_path", "name", "type", "start_line", "end_line", "parent")
+
+
+@query(expected(MORE_REFS, ["caller_name", "callee_name", "line"]), "more")
+def extract_refs_languages(more):
+    return extracted(more, "refs").select(F.col("caller_file").alias("file_path"), "caller_name", "callee_name", "line")
+
+
+@query("SELECT path AS file_path, CASE WHEN language = 'csharp' THEN concat('System.', module) ELSE module END AS import_path, CAST(1 AS INT) AS line FROM {more} WHERE language <> 'rust'", "more")
+def extract_imports_languages(more):
+    return extracted(more, "imports").select("file_path", "import_path", "line")
+
+
 @query("SELECT path AS file_path, module AS import_path, '' AS alias, CAST(CASE language WHEN 'go' THEN 2 ELSE 1 END AS INT) AS line FROM {sources}", "sources")
 def extract_imports(sources):
     return extracted(sources, "imports").select("file_path", "import_path", "alias", "line")
@@ -462,11 +534,11 @@ WALK = f"""RECURSIVE WITH start AS (SELECT 'r0' AS repo, s.name AS symbol FROM {
     reach AS (SELECT repo, symbol, 0 AS d FROM start UNION SELECT e.repo2, e.b, d + 1 FROM reach r JOIN edge e ON e.repo = r.repo AND e.a = r.symbol WHERE d + 1 < {DEPTH}),
     node AS (SELECT repo, symbol, min(d) AS d FROM reach GROUP BY repo, symbol),
     step AS (
-        SELECT n.repo, caller_file AS file, CASE WHEN caller_name = '' THEN '<file scope>' ELSE caller_name END AS symbol, d + 1 AS distance, CASE WHEN d = 0 THEN 'DIRECT_CALLER_SIGNATURE_MISMATCH' ELSE 'INDIRECT_CALL_CHAIN_PROPAGATION' END AS reason, 'compile_error' AS break_type, 1 AS up
+        SELECT n.repo, caller_file AS file, CASE WHEN caller_name = '' THEN '<file scope>' ELSE caller_name END AS symbol, d + 1 AS distance, CASE WHEN d = 0 THEN 'DIRECT_CALLER_SIGNATURE_MISMATCH' ELSE 'INDIRECT_CALL_CHAIN_PROPAGATION' END AS reason, 'compile_error' AS break_type, 1 AS up, concat(n.repo, '|', n.symbol) AS source
         FROM node n JOIN {{refs}} r ON r.repo_id = n.repo AND r.callee_name = n.symbol
-        UNION ALL SELECT n.repo, coalesce(s.file_path, r.caller_file), r.callee_name, d + 1, 'INDIRECT_CALL_CHAIN_PROPAGATION', 'behavioral_regression', 0
+        UNION ALL SELECT n.repo, coalesce(s.file_path, r.caller_file), r.callee_name, d + 1, 'INDIRECT_CALL_CHAIN_PROPAGATION', 'behavioral_regression', 0, concat(n.repo, '|', n.symbol)
         FROM node n JOIN {{refs}} r ON r.repo_id = n.repo AND r.caller_name = n.symbol LEFT JOIN {{symbols}} s ON s.repo_id = n.repo AND s.name = r.callee_name
-        UNION ALL SELECT l.dst_repo_id, coalesce(s.file_path, l.dst_file), l.dst_symbol, d + 1, 'CROSS_REPO_CONTRACT_EDGE', 'contract_break', 0
+        UNION ALL SELECT l.dst_repo_id, coalesce(s.file_path, l.dst_file), l.dst_symbol, d + 1, 'CROSS_REPO_CONTRACT_EDGE', 'contract_break', 0, concat(n.repo, '|', n.symbol)
         FROM node n JOIN l ON l.src_repo_id = n.repo AND l.src_symbol = n.symbol LEFT JOIN {{symbols}} s ON s.repo_id = l.dst_repo_id AND s.name = l.dst_symbol),
     impact AS (SELECT repo, file, symbol, min(distance) AS distance, list_sort(list_distinct(list(reason))) AS reasons, list_sort(list_distinct(list(break_type))) AS breaks FROM step GROUP BY repo, file, symbol),
     base AS (SELECT *, CASE WHEN list_contains(reasons, 'DIRECT_CALLER_SIGNATURE_MISMATCH') THEN 45 ELSE 0 END + CASE WHEN list_contains(reasons, 'INDIRECT_CALL_CHAIN_PROPAGATION') THEN 18 ELSE 0 END + CASE WHEN list_contains(reasons, 'CROSS_REPO_CONTRACT_EDGE') THEN 35 + 12 ELSE 0 END
@@ -514,12 +586,13 @@ def impact_tiers(symbols, refs):
 
 @query(
     f"""{WALK} SELECT count(DISTINCT CASE WHEN up = 1 AND distance = 1 THEN concat(repo, '|', file, '|', symbol) END) AS direct_callers, count(DISTINCT CASE WHEN up = 1 AND distance > 1 THEN concat(repo, '|', file, '|', symbol) END) AS indirect_callers,
-    count(DISTINCT concat(repo, '|', file, '|', symbol)) AS affected_symbols, count(DISTINCT file) AS affected_files, count(DISTINCT repo) AS affected_repos FROM step""",
+    count(DISTINCT concat(repo, '|', file, '|', symbol)) AS affected_symbols, count(DISTINCT file) AS affected_files, count(DISTINCT repo) AS affected_repos,
+    count(DISTINCT CASE WHEN reason = 'CROSS_REPO_CONTRACT_EDGE' THEN concat(source, '|', repo, '|', file, '|', symbol) END) AS cross_boundary_edges FROM step""",
     "symbols",
     "refs",
 )
 def impact_scope(symbols, refs):
-    return graph.scope(walked(symbols, refs)[1]).drop("cross_boundary_edges")
+    return graph.scope(walked(symbols, refs)[1])
 
 
 @query(f"{WALK} SELECT 'shared_type' AS kind, 'unknown' AS source_repo, repo AS target_repo, risk_score FROM scored WHERE risk_score >= 65 AND list_contains(reasons, 'CROSS_REPO_CONTRACT_EDGE')", "symbols", "refs")
@@ -528,7 +601,17 @@ def impact_boundaries(symbols, refs):
 
 
 @query(
-    f"""{WALK}, a AS ({AGGREGATE}) SELECT 'adapter_bridge_then_migrate' AS strategy, CAST(3 + CASE WHEN risk_score >= 85 THEN 1 ELSE 0 END AS INT) AS batches FROM a""",
+    f"""{WALK}, a AS ({AGGREGATE}), n AS (SELECT count(*) AS items, count(DISTINCT repo) AS repos, count(DISTINCT CASE WHEN repo <> 'r0' THEN repo END) AS others, bool_or(list_contains(reasons, 'CROSS_REPO_CONTRACT_EDGE')) AS linked FROM scored),
+    c AS (SELECT count(DISTINCT CASE WHEN up = 1 AND distance = 1 THEN concat(repo, '|', file, '|', symbol) END) AS direct, count(DISTINCT CASE WHEN up = 1 AND distance > 1 THEN concat(repo, '|', file, '|', symbol) END) AS indirect FROM step),
+    x AS (SELECT *, repos > 1 OR linked AS crossed, confidence < 0.55 AS manual FROM a, n, c),
+    y AS (SELECT *, crossed OR risk_score >= 65 OR direct >= 3 AS split FROM x),
+    z AS (SELECT *, CASE WHEN manual THEN 'manual_investigation_first' WHEN crossed THEN 'adapter_bridge_then_migrate' WHEN risk_score >= 85 THEN 'deprecate_then_remove' WHEN split THEN 'adapter_bridge_then_migrate' ELSE 'single_pr_direct_change' END AS strategy FROM y),
+    top AS (SELECT string_agg(i, ',' ORDER BY k) AS ids FROM (SELECT concat_ws('|', repo, file, symbol) AS i, row_number() OVER (ORDER BY risk_score DESC, confidence DESC, distance, concat_ws('|', repo, file, symbol)) AS k FROM scored) WHERE k <= 2)
+    SELECT strategy, CAST(least(1 + split::INT + crossed::INT + (risk_score >= 85)::INT + manual::INT, 5) AS INT) AS batches,
+    concat_ws(',', 'expand_test_plan', CASE WHEN crossed THEN 'run_cross_repo_ci,confirm_contract_versioning' END, CASE WHEN split THEN 'prefer_non_breaking_adapter' END, CASE WHEN manual THEN 'notify_owners_before_edit' END) AS hints,
+    concat_ws(',', 'build-main', 'lint-main', CASE WHEN items > 0 THEN 'unit-top-impact' END, CASE WHEN risk_score >= 65 OR indirect > 0 THEN 'integration-impacted-paths' END, CASE WHEN crossed THEN 'contract-cross-repo' END, CASE WHEN manual THEN 'manual-risk-review' END) AS checks,
+    CAST((crossed AND others > 0)::INT + (strategy IN ('adapter_bridge_then_migrate', 'deprecate_then_remove'))::INT + least(items, 2) + 1 AS INT) AS steps, CAST(CASE WHEN crossed THEN others ELSE 0 END AS INT) AS owners,
+    concat_ws(',', CASE WHEN strategy <> 'adapter_bridge_then_migrate' THEN 'adapter_bridge_then_migrate' END, CASE WHEN strategy <> 'feature_flag_rollout' THEN 'feature_flag_rollout' END) AS alternatives, ids AS top FROM z, top""",
     "symbols",
     "refs",
 )
@@ -536,8 +619,13 @@ def impact_planning(symbols, refs):
     start, steps = walked(symbols, refs)
     scored = scoring.score(graph.impacts(steps))
     items = [r.asDict() for r in scored.select("id", "repo", "file", "symbol", "distance", "reasons", "risk_score", "confidence").collect()]
-    found = planning.plan(start, graph.scope(steps).collect()[0].asDict(), items, scoring.aggregate(scored).collect()[0].asDict())["planning_signals"]
-    return symbols.sparkSession.createDataFrame([(found["recommended_strategy"], found["suggested_batch_count"])], "strategy string, batches int")
+    found = planning.plan(start, graph.scope(steps).collect()[0].asDict(), items, scoring.aggregate(scored).collect()[0].asDict())
+    signals, order = found["planning_signals"], found["recommended_order"]
+    row = (
+        signals["recommended_strategy"], signals["suggested_batch_count"], ",".join(signals["agent_hints"]), ",".join(c["id"] for c in found["required_checks"]), len(order), len(found["notify_owners"]),
+        ",".join(a["name"] for a in found["alternatives"]), ",".join(i for s in order for i in s.get("related_impact_ids", ())),
+    )
+    return symbols.sparkSession.createDataFrame([row], "strategy string, batches int, hints string, checks string, steps int, owners int, alternatives string, top string")
 
 
 @query("SELECT id, src_repo_id, dst_repo_id, src_symbol, dst_symbol FROM {links} WHERE (src_repo_id = 'r1' OR dst_repo_id = 'r1') AND dst_symbol = 'red_widget_7'", "links")

@@ -81,7 +81,7 @@ def repo_id(root: Column) -> Column:
 
 def line_slice(text: Column, start: Column, end: Column) -> Column:
     """Lines ``start`` to ``end`` of a text (from 1), each ended by one newline, without carriage returns."""
-    lines = F.split(F.regexp_replace(text, r"\r(?=\n|$)", ""), "\n")
+    lines = F.split(F.regexp_replace(text, r"\r(?=\n|\z)", ""), "\n")
     count = F.when(text.endswith("\n"), F.size(lines) - 1).otherwise(F.size(lines))
     taken = F.slice(lines, F.greatest(start, F.lit(1)), F.greatest(F.least(end, count) - F.greatest(start, F.lit(1)) + 1, F.lit(0)))
     return F.when(F.size(taken) == 0, "").otherwise(F.concat(F.array_join(taken, "\n"), F.lit("\n")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import io
+import keyword
 import re
 import tokenize
 
@@ -19,10 +20,10 @@ def span(node: ast.AST) -> tuple[int, int]:
 
 
 def line_tokens(text: str) -> dict[int, list[str]]:
-    """Names, comments and the words of string literals by line."""
+    """Names but keywords, comments and the words of string literals by line."""
     found: dict[int, list[str]] = {}
     for t in tokenize.generate_tokens(io.StringIO(text).readline):
-        if t.type == tokenize.NAME or t.type == tokenize.COMMENT:
+        if t.type == tokenize.NAME and not keyword.iskeyword(t.string) or t.type == tokenize.COMMENT:
             found.setdefault(t.start[0], []).append(t.string)
         elif t.type == tokenize.STRING or t.type == getattr(tokenize, "FSTRING_MIDDLE", -1):
             found.setdefault(t.start[0], []).extend(literal_words(t.string))

@@ -34,6 +34,15 @@ KEYWORDS = {
     "swift": "if for while switch return func catch case do else try throw guard where in is as await let var init super self defer repeat some any inout",
 }
 KEYWORDS |= dict.fromkeys(("typescript", "tsx"), KEYWORDS["javascript"])
+#: Words of a language that are no identifiers: they say nothing of what a body is about.
+RESERVED = {
+    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var nil true false iota",
+    "javascript": "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof let new return static super switch this throw try typeof var void while with yield async await of null true false undefined",
+    "csharp": "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using var virtual void volatile while record async await where partial",
+    "rust": "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self static struct super trait true type union unsafe use where while bool char str u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f32 f64",
+    "swift": "associatedtype class deinit enum extension fileprivate func import init inout internal let open operator private protocol public rethrows static struct subscript typealias var break case continue default defer do else fallthrough for guard if in repeat return switch where while as catch false is nil super self throw throws true try final override mutating",
+}
+RESERVED |= dict.fromkeys(("typescript", "tsx"), RESERVED["javascript"] + " abstract declare enum implements interface namespace private protected public readonly type any boolean number unknown never object symbol")
 #: Names that are values, but of no symbol.
 CONSTANTS = frozenset("nil null true false undefined iota self this super func function new async await class number string boolean any void unknown never object bigint symbol".split())
 
@@ -85,6 +94,7 @@ class Scan:
         self.out = Parsed()
         self.declared: set[int] = set()  # tokens that name a declaration, not a call
         self.keywords = frozenset(KEYWORDS[self.language].split())
+        self.reserved = frozenset(RESERVED[self.language].split())
 
     def at(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
@@ -140,7 +150,7 @@ class Scan:
         words = []
         for x in self.t[start : end + 1]:
             if x.kind == "ident":
-                words.append(x.text)
+                words += [x.text] if x.text not in self.reserved else []
             elif x.kind == "string":
                 words += literal_words(x.text)
         words += [c.text for c in self.comments if s.start_line <= c.line <= s.end_line]

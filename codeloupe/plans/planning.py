@@ -52,12 +52,12 @@ def hints(cross: bool, manual: bool, split: bool) -> list[str]:
 
 def checks(start: dict, scope: dict, items: list[dict], risk: int, cross: bool, manual: bool) -> list[dict]:
     rows = [
-        (True, "build-main", "build", start["repo"], "high", True, "Baseline compile validation for impacted repository"),
-        (True, "lint-main", "lint", start["repo"], "medium", False, "Static quality checks after API/symbol changes"),
-        (bool(items), "unit-top-impact", "unit_test", f"{items[0]['repo']}:{items[0]['file']}" if items else "", "high", True, "Top impacted symbol path must be validated"),
-        (risk >= HIGH or scope["indirect_callers"] > 0, "integration-impacted-paths", "integration_test", start["repo"], "high", True, "Indirect caller propagation indicates integration-path risk"),
-        (cross, "contract-cross-repo", "contract_test", "workspace", "high", True, "Cross-repo edges require contract compatibility validation"),
-        (manual, "manual-risk-review", "manual_validation", start["symbol"], "high", True, "Low-confidence or dynamic paths require explicit reviewer signoff"),
+        (True, "build-main", "build", start["repo"], "high", True, "The repository that changes has to build"),
+        (True, "lint-main", "lint", start["repo"], "medium", False, "Style and static rules still hold for what was edited"),
+        (bool(items), "unit-top-impact", "unit_test", f"{items[0]['repo']}:{items[0]['file']}" if items else "", "high", True, "The file most at risk needs its own tests"),
+        (risk >= HIGH or scope["indirect_callers"] > 0, "integration-impacted-paths", "integration_test", start["repo"], "high", True, "The change travels through callers of callers, so paths across modules need a test"),
+        (cross, "contract-cross-repo", "contract_test", "workspace", "high", True, "Another repository depends on this one, so what they agreed on needs a test"),
+        (manual, "manual-risk-review", "manual_validation", start["symbol"], "high", True, "What the index can't see for sure needs a person's eyes"),
     ]
     return [dict(zip(("id", "type", "target", "priority", "blocking", "why"), r[1:], strict=True)) for r in rows if r[0]]
 
@@ -65,28 +65,28 @@ def checks(start: dict, scope: dict, items: list[dict], risk: int, cross: bool,
 def notifications(start: dict, items: list[dict], cross: bool) -> list[dict]:
     found: dict[tuple[str, str], dict] = {}
     for owner in (x["owner"] for x in items if x.get("owner")):
-        found.setdefault((owner["type"], owner["id"]), {"owner": owner, "reason": "Owner mapped from impacted symbol", "priority": "high"})
+        found.setdefault((owner["type"], owner["id"]), {"owner": owner, "reason": "They own something that the change reaches", "priority": "high"})
     for repo in sorted({x["repo"] for x in items} - {"", start["repo"]}) if cross else ():
         owner = {"id": f"repo:{repo}", "type": "service_owner", "display_name": f"Service owner for {repo}", "confidence": 0.45}
-        found.setdefault((owner["type"], owner["id"]), {"owner": owner, "reason": "Cross-repo impact requires coordination", "priority": "high"})
+        found.setdefault((owner["type"], owner["id"]), {"owner": owner, "reason": "The change reaches into their repository", "priority": "high"})
     return [found[k] for k in sorted(found)]  # all of one priority
 
 
 def steps(chosen: str, n_checks: int, notify: list[dict], items: list[dict]) -> list[dict]:
     found = []
     if notify:
-        found.append({"action": "Notify impacted owners before implementation", "rationale": "Cross-boundary or ownership-sensitive changes should be coordinated early", "blocking": True})
+        found.append({"action": "Tell the owners of what is reached first", "rationale": "Changes across repositories or owners need time to agree on", "blocking": True})
     if chosen in ("adapter_bridge_then_migrate", "deprecate_then_remove"):
-        found.append({"action": "Introduce compatibility adapter/deprecation layer", "rationale": "Reduce immediate breakage while downstream callers migrate", "blocking": True})
+        found.append({"action": "Put an adapter between old and new, and mark the old as deprecated", "rationale": "Callers go on working until they have moved", "blocking": True})
     for x in sorted(items, key=lambda x: (-x["risk_score"], -x["confidence"], x["distance"], x["id"]))[:2]:
-        found.append({"action": f"Update impacted path {x['symbol']} ({x['file']})", "rationale": "Highest-risk impacted symbols should be migrated first", "related_impact_ids": [x["id"]], "blocking": False})
-    found.append({"action": f"Run {n_checks} required checks", "rationale": "Validation gates prevent regressions before merge", "blocking": True})
+        found.append({"action": f"Adapt {x['symbol']} in {x['file']}", "rationale": "What is most at risk moves first", "related_impact_ids": [x["id"]], "blocking": False})
+    found.append({"action": f"Run the {n_checks} checks", "rationale": "Nothing merges before the checks have passed", "blocking": True})
     return [{"step": k, **s} for k, s in enumerate(found, 1)]
 
 
 def alternatives(chosen: str, risk: int) -> list[dict]:
-    bridge = ("adapter_bridge_then_migrate", "Add a non-breaking compatibility adapter and migrate callers incrementally", -20, ["Extra temporary code", "Longer migration window"])
-    flag = ("feature_flag_rollout", "Gate behavior behind a rollout flag and increase exposure gradually", -18 if risk >= CRITICAL else -10, ["Flag lifecycle overhead", "Operational coordination required"])
+    bridge = ("adapter_bridge_then_migrate", "Keep the old form alive behind an adapter and move callers one by one", -20, ["Code that has to go again", "The move takes longer"])
+    flag = ("feature_flag_rollout", "Hide the change behind a flag and switch it on step by step", -18 if risk >= CRITICAL else -10, ["Flags need care and removal", "Operations has to take part"])
     return [dict(zip(("name", "description", "expected_risk_score_delta", "tradeoffs"), a, strict=True)) for a in (bridge, flag) if a[0] != chosen]
 
 

@@ -6,6 +6,8 @@ Every step is a DataFrame operator, so that thousands of repositories are one jo
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +77,11 @@ def parsed(changed: DataFrame) -> DataFrame:
 def relations(files: DataFrame) -> dict[str, DataFrame]:
     """The relations of parsed files without an error."""
     good = files.filter(F.col("parsed.error").isNull())
-    symbols = good.select("repo_id", F.col("path").alias("file_path"), F.explode("parsed.symbols").alias("s")).select("repo_id", "file_path", "s.*")
+    symbols = good.select("repo_id", F.col("path").alias("file_path"), F.inline("parsed.symbols"))
     symbols = first_of_each(symbols).withColumn("name_tokens", split_identifier(F.col("name")))
     symbols = with_words(symbols)
-    calls = good.select("repo_id", F.col("path").alias("file_path"), F.explode("parsed.calls").alias("c")).select("repo_id", "file_path", "c.callee_name", "c.line")
-    imports = good.select("repo_id", F.col("path").alias("file_path"), F.explode("parsed.imports").alias("i")).select("repo_id", "file_path", "i.*")
+    calls = good.select("repo_id", F.col("path").alias("file_path"), F.inline("parsed.calls")).drop("ord")
+    imports = good.select("repo_id", F.col("path").alias("file_path"), F.inline("parsed.imports"))
     return {
         "files": good.select("repo_id", "path", "language", "sha256", "mtime", "size", F.date_trunc("second", F.current_timestamp()).alias("indexed_at")),
         "symbols": symbols.select("repo_id", "file_path", "ord", "name", "type", "start_line", "end_line", "parent", "name_tokens", "body_tokens", "symbol_id", "words", "n_words"),
@@ -89,6 +91,12 @@ def relations(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def staleness(indexed: DataFrame, now: datetime, threshold: timedelta = timedelta(seconds=10)) -> DataFrame:
+    """Repositories' ``last_indexed`` with ``stale``: whether that is missing or longer ago than the threshold; a negative one is zero."""
+    age = F.lit(now) - F.col("last_indexed")
+    return indexed.withColumn("stale", F.coalesce(age > F.lit(max(threshold, timedelta(0))), F.lit(True)))
+
+
 FILE_KEY = {"files": "path", "symbols": "file_path", "postings": "file_path", "refs": "caller_file", "imports": "file_path"}
 
 

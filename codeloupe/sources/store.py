@@ -89,6 +89,11 @@ class Store:
         last = self.last_indexed(repo)
         return last is None or (now or datetime.now(UTC)) - last > max(threshold, timedelta(0))
 
+    def freshness(self, threshold: timedelta = timedelta(seconds=10), now: datetime | None = None) -> DataFrame:
+        """``repo_id, last_indexed, stale`` of every repository."""
+        rows = [(r, datetime.fromisoformat(p["last_indexed_at"])) for r, p in self.repos().items()]
+        return ingest.staleness(self.spark.createDataFrame(rows, "repo_id string, last_indexed timestamp"), now or datetime.now(UTC), threshold)
+
     def drop(self, root: str) -> None:
         """Removes a repository's index, also one of another schema version; nothing happens if it has none."""
         with LOCKS[self.pointer(repo_id(root))]:
