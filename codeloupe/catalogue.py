@@ -550,7 +550,8 @@ AGGREGATE = """SELECT CAST(floor((max(risk_score) * 60 + floor(sum(risk_score /
 
 def walked(symbols, refs):
     """The expansions of the walk that the impact queries share; the relations, joins of tables here, are made once."""
-    symbols, refs = checkpointed(symbols), checkpointed(refs)
+    # Of the repositories that the walk can reach, as a simulation reads them.
+    symbols, refs = (checkpointed(df.filter("repo_id IN ('r0', 'r1')")) for df in (symbols.select("repo_id", "name", "file_path", "start_line"), refs))
     own = refs.filter("repo_id = 'r0'").groupBy(F.col("callee_name").alias("name")).agg(F.count("*").alias("n"))
     top = symbols.filter("repo_id = 'r0'").select("name").distinct().join(own, "name").orderBy(F.desc("n"), "name").limit(1).collect()
     start = graph.start_symbol(symbols, "r0", top[0]["name"])
@@ -569,6 +570,18 @@ def impact_reach(symbols, refs):
     return graph.impacts(walked(symbols, refs)[1]).select("repo", "file", "symbol", "distance", F.array_join("reasons", ",").alias("reasons"), F.array_join("breaks", ",").alias("breaks"))
 
 
+@query(
+    f"""{WALK} SELECT repo, file, symbol, CAST(distance AS INT) AS proofs, 'r0' AS from_repo, (SELECT symbol FROM start) AS from_symbol, symbol AS to_symbol, CASE WHEN list_contains(reasons, 'CROSS_REPO_CONTRACT_EDGE') THEN 'workspace_link' ELSE 'call_edge' END AS type
+    FROM impact WHERE distance = 1 AND len(reasons) = 1""",
+    "symbols",
+    "refs",
+)
+def impact_evidence(symbols, refs):
+    direct = graph.impacts(walked(symbols, refs)[1]).filter("distance = 1 AND size(reasons) = 1")
+    proof = F.col("evidence")[0]
+    return direct.select("repo", "file", "symbol", F.size("evidence").alias("proofs"), proof["from_repo"].alias("from_repo"), proof["from_symbol"].alias("from_symbol"), proof["to_symbol"].alias("to_symbol"), proof["type"].alias("type"))
+
+
 @query(f"{WALK} SELECT repo, file, symbol, risk_score, CAST(confidence AS DOUBLE) AS confidence FROM scored", "symbols", "refs")
 def impact_scores(symbols, refs):
     return scoring.score(graph.impacts(walked(symbols, refs)[1])).select("repo", "file", "symbol", "risk_score", F.round("confidence", 6).alias("confidence"))

@@ -60,52 +60,52 @@ def start_symbol(symbols: DataFrame, repo: str, symbol: str) -> dict:
     return {"symbol": symbol, "file": rows[0]["file_path"], "repo": repo, "line": rows[0]["start_line"]}
 
 
-STEP = "struct<repo: string, file: string, symbol: string, line: int, reason: string>"
-EVIDENCE = "struct<type: string, relation: string, call_line: int, link_id: bigint, note: string, from_repo: string, from_file: string, from_symbol: string, to_repo: string, to_file: string, to_symbol: string, to_line: int>"
-NODE = f"repo string, symbol string, file string, line int, distance int, pos array<{STEP}>, evidence array<{EVIDENCE}>"
+#: One step of a walk. Walks are ordered by the first five fields of their steps, as a queue would hold them.
+STEP = "struct<repo: string, file: string, symbol: string, line: int, reason: string, relation: string, call_line: int, link_id: bigint, note: string>"
+NODE = f"repo string, symbol string, file string, line int, distance int, pos array<{STEP}>"
+
+
+def step_of(repo: Column, file: Column, symbol: Column, line: Column, reason: Column, relation: Column, call_line: Column, link_id: Column, note: Column) -> Column:
+    return F.struct(
+        repo.alias("repo"), file.alias("file"), symbol.alias("symbol"), line.cast("int").alias("line"), reason.alias("reason"), relation.alias("relation"), call_line.cast("int").alias("call_line"), link_id.cast("long").alias("link_id"), note.cast("string").alias("note"),
+    )
 
 
 def expand(frontier: DataFrame, symbols: DataFrame, refs: DataFrame, links: DataFrame | None) -> DataFrame:
     """Everything one step from the frontier's nodes: callers, callees, and linked symbols of other repositories."""
     s = symbols.select(F.col("repo_id").alias("s_repo"), F.col("name").alias("s_name"), F.col("file_path").alias("s_file"), F.col("start_line").alias("s_line"))
-    node = ["repo", "symbol", "file", "line", "distance", "pos", "evidence"]
-
-    def edges(df: DataFrame, kind: Column, relation: Column, reason: Column, breaks: Column, caller_hop: Column, cross: Column, link_id: Column, note: Column) -> DataFrame:
-        return df.select(
-            *node, "t_symbol", "t_file", "t_repo", "t_line", "call_line", "open", reason.alias("reason"), breaks.alias("break_type"), caller_hop.alias("caller_hop"), cross.alias("cross_repo"),
-            kind.alias("edge"), relation.alias("relation"), link_id.cast("long").alias("link_id"), note.cast("string").alias("note"),
-        )
+    node = ["repo", "symbol", "file", "distance", "pos"]
+    nothing = F.lit(None)
 
     up = frontier.join(refs, (refs["repo_id"] == frontier["repo"]) & (refs["callee_name"] == frontier["symbol"]))
-    up = up.select(*(frontier[c] for c in node), F.when(F.col("caller_name") == "", FILE_SCOPE).otherwise(F.col("caller_name")).alias("t_symbol"), F.col("caller_file").alias("t_file"), frontier["repo"].alias("t_repo"), refs["line"].alias("t_line"), refs["line"].alias("call_line"), (F.col("caller_name") != "").alias("open"))
-    found = edges(up, F.lit("call_edge"), F.lit("upstream_caller"), F.when(F.col("distance") == 0, DIRECT).otherwise(INDIRECT), F.lit(COMPILE), F.lit(True), F.lit(False), F.lit(None), F.lit(None))
+    found = up.select(
+        *(frontier[c] for c in node), F.when(F.col("caller_name") == "", FILE_SCOPE).otherwise(F.col("caller_name")).alias("t_symbol"), F.col("caller_file").alias("t_file"), frontier["repo"].alias("t_repo"), refs["line"].alias("t_line"), refs["line"].alias("call_line"),
+        (F.col("caller_name") != "").alias("open"), F.when(frontier["distance"] == 0, DIRECT).otherwise(INDIRECT).alias("reason"), F.lit(COMPILE).alias("break_type"), F.lit(True).alias("caller_hop"), F.lit(False).alias("cross_repo"), F.lit("upstream_caller").alias("relation"),
+        nothing.cast("long").alias("link_id"), nothing.cast("string").alias("note"),
+    )
 
     # Callees and linked symbols are names that stand for all their symbols: one join resolves both.
     down = frontier.join(refs, (refs["repo_id"] == frontier["repo"]) & (refs["caller_name"] == frontier["symbol"]))
     named = down.select(
         *(frontier[c] for c in node), refs["callee_name"].alias("t_symbol"), frontier["repo"].alias("t_repo"), refs["caller_file"].alias("else_file"), refs["line"].alias("else_line"), refs["line"].alias("call_line"),
-        F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("l_note"), F.lit(False).alias("across"),
+        nothing.cast("long").alias("id"), nothing.cast("string").alias("l_note"), F.lit(False).alias("across"),
     )
     if links is not None:
         known = links.select("id", "src_repo_id", "src_symbol", "dst_repo_id", "dst_symbol", "dst_file", F.col("note").alias("l_note"))
         linked = frontier.join(known, (F.col("src_repo_id") == F.col("repo")) & (F.col("src_symbol") == F.col("symbol")))
-        named = named.unionByName(linked.select(*node, F.col("dst_symbol").alias("t_symbol"), F.col("dst_repo_id").alias("t_repo"), F.col("dst_file").alias("else_file"), F.lit(0).alias("else_line"), F.lit(None).cast("int").alias("call_line"), "id", "l_note", F.lit(True).alias("across")))
+        named = named.unionByName(linked.select(*node, F.col("dst_symbol").alias("t_symbol"), F.col("dst_repo_id").alias("t_repo"), F.col("dst_file").alias("else_file"), F.lit(0).alias("else_line"), nothing.cast("int").alias("call_line"), "id", "l_note", F.lit(True).alias("across")))
     named = named.join(s, (F.col("s_repo") == F.col("t_repo")) & (F.col("s_name") == F.col("t_symbol")), "left")
-    named = named.select(*node, "id", "l_note", "across", "t_symbol", F.coalesce("s_file", "else_file").alias("t_file"), "t_repo", F.coalesce("s_line", "else_line").alias("t_line"), "call_line", (F.col("t_symbol") != "").alias("open"))
     pick = lambda here, there: F.when(F.col("across"), here).otherwise(there)
-    found = found.unionByName(
-        edges(named, pick("workspace_link", "call_edge"), pick("workspace_link", "downstream_callee"), pick(CROSS, INDIRECT), pick(CONTRACT, BEHAVIOR), F.lit(False), F.col("across"), F.col("id"), F.col("l_note"))
-    )
-
-    step = F.struct(F.col("t_repo").alias("repo"), F.col("t_file").alias("file"), F.col("t_symbol").alias("symbol"), F.col("t_line").cast("int").alias("line"), F.col("reason").alias("reason"))
-    proof = F.struct(
-        F.col("edge").alias("type"), "relation", F.col("call_line").cast("int").alias("call_line"), "link_id", "note", F.col("repo").alias("from_repo"), F.col("file").alias("from_file"), F.col("symbol").alias("from_symbol"),
-        F.col("t_repo").alias("to_repo"), F.col("t_file").alias("to_file"), F.col("t_symbol").alias("to_symbol"), F.col("t_line").cast("int").alias("to_line"),
+    named = named.select(
+        *node, "t_symbol", F.coalesce("s_file", "else_file").alias("t_file"), "t_repo", F.coalesce("s_line", "else_line").alias("t_line"), "call_line", (F.col("t_symbol") != "").alias("open"), pick(CROSS, INDIRECT).alias("reason"), pick(CONTRACT, BEHAVIOR).alias("break_type"),
+        F.lit(False).alias("caller_hop"), F.col("across").alias("cross_repo"), pick("workspace_link", "downstream_callee").alias("relation"), F.col("id").alias("link_id"), F.col("l_note").alias("note"),
     )
+    found = found.unionByName(named)
+    step = step_of(*map(F.col, ("t_repo", "t_file", "t_symbol", "t_line", "reason", "relation", "call_line", "link_id", "note")))
+    kind = F.when(F.col("cross_repo"), "workspace_link").otherwise("call_edge")
     return found.select(
-        "t_repo", "t_file", "t_symbol", F.col("t_line").cast("int").alias("t_line"), (F.col("distance") + 1).alias("distance"), "reason", "break_type", "open", "caller_hop", "cross_repo",
-        F.concat("pos", F.array(step)).alias("pos"), F.concat("evidence", F.array(proof)).alias("evidence"),
-        F.concat_ws("", "edge", F.lit("|"), "repo", F.lit("|"), "file", F.lit("|"), "symbol", F.lit("->"), "t_repo", F.lit("|"), "t_file", F.lit("|"), "t_symbol").alias("edge_key"),
+        "t_repo", "t_file", "t_symbol", F.col("t_line").cast("int").alias("t_line"), (F.col("distance") + 1).alias("distance"), "reason", "break_type", "open", "caller_hop", "cross_repo", F.concat("pos", F.array(step)).alias("pos"),
+        F.when(F.col("cross_repo"), F.concat_ws("", kind, F.lit("|"), "repo", F.lit("|"), "file", F.lit("|"), "symbol", F.lit("->"), "t_repo", F.lit("|"), "t_file", F.lit("|"), "t_symbol")).alias("edge_key"),
     )
 
 
@@ -113,36 +113,58 @@ def propagate(symbols: DataFrame, refs: DataFrame, start: dict, max_depth: int =
     """All expansions of a breadth-first walk from ``start``, one row each.
 
     A node is a symbol's name in a repository, and is expanded once, at its shortest distance;
-    expansions to known nodes count all the same. Depth 0 is unlimited. ``pos`` holds the steps that
-    lead to a row; by its order an expansion comes before another as in a queue.
+    expansions to known nodes count all the same. Depth 0 is unlimited. ``pos`` holds the start and
+    the steps that lead to a row; by its order an expansion comes before another as in a queue.
+
+    A level's expansions are written once, to the checkpoint folder; its frontier is an aggregate of
+    them, kept in memory or on disk until the level after next, and what was visited before is the
+    frontiers so far. What proves an impact is read off ``pos`` at the end and not carried along.
     """
     spark = symbols.sparkSession
-    seed = (start["repo"], start["symbol"], start["file"], start["line"], 0, [], [])
-    frontier = checkpointed(spark.createDataFrame([seed], NODE))
-    visited = frontier.select("repo", "symbol")
-    every, depth, nodes = None, 0, 1
+    seed = (start["repo"], start["file"], start["symbol"], start["line"], None, None, None, None, None)
+    frontier = spark.createDataFrame([(start["repo"], start["symbol"], start["file"], start["line"], 0, [seed])], NODE)
+    seen, every, depth, nodes = [frontier.select("repo", "symbol")], None, 0, 1
     while True:
         step = checkpointed(expand(F.broadcast(frontier) if nodes <= BROADCAST_NODES else frontier, symbols, refs, links))
         every = step if every is None else every.unionByName(step)
+        frontier.unpersist()
         depth += 1
         if max_depth and depth >= max_depth:
             return every
-        reached = step.filter("open").groupBy(F.col("t_repo").alias("repo"), F.col("t_symbol").alias("symbol")).agg(F.min_by(F.struct("t_file", "t_line", "distance", "pos", "evidence"), "pos").alias("n"))
+        reached = step.filter("open").groupBy(F.col("t_repo").alias("repo"), F.col("t_symbol").alias("symbol")).agg(F.min(F.struct("pos", "t_file", "t_line", "distance")).alias("n"))
+        visited = seen[0]
+        for level in seen[1:]:
+            visited = visited.unionByName(level)
         fresh = reached.join(visited, ["repo", "symbol"], "left_anti")
-        frontier = checkpointed(fresh.select("repo", "symbol", F.col("n.t_file").alias("file"), F.col("n.t_line").alias("line"), F.col("n.distance").alias("distance"), F.col("n.pos").alias("pos"), F.col("n.evidence").alias("evidence")))
+        frontier = fresh.select("repo", "symbol", F.col("n.t_file").alias("file"), F.col("n.t_line").alias("line"), F.col("n.distance").alias("distance"), F.col("n.pos").alias("pos")).persist()
         nodes = frontier.count()
         if not nodes:
+            frontier.unpersist()
             return every
-        visited = checkpointed(visited.unionByName(frontier.select("repo", "symbol")))
+        # Everything that a level reaches is visited then, whether it was before or not.
+        seen.append(step.filter("open").select(F.col("t_repo").alias("repo"), F.col("t_symbol").alias("symbol")).distinct())
+
+
+def evidence(pos: Column) -> Column:
+    """What proves each step of a walk: the edge, and where it comes from and leads to."""
+
+    def proof(i: Column) -> Column:
+        a, b = F.get(pos, i - 1), F.get(pos, i)
+        kind = F.when(b["link_id"].isNotNull() | (b["relation"] == "workspace_link"), "workspace_link").otherwise("call_edge")
+        return F.struct(
+            kind.alias("type"), b["relation"].alias("relation"), b["call_line"].alias("call_line"), b["link_id"].alias("link_id"), b["note"].alias("note"), a["repo"].alias("from_repo"), a["file"].alias("from_file"), a["symbol"].alias("from_symbol"),
+            b["repo"].alias("to_repo"), b["file"].alias("to_file"), b["symbol"].alias("to_symbol"), b["line"].alias("to_line"),
+        )
+
+    return F.transform(F.sequence(F.lit(1), F.size(pos) - 1), proof)
 
 
 def impacts(expansions: DataFrame) -> DataFrame:
     """Expansions merged by repository, file and symbol: ``id, repo, file, symbol, line, distance, reasons, breaks, evidence``."""
-    order = F.struct("distance", "pos")
-    merged = expansions.groupBy(F.col("t_repo").alias("repo"), F.col("t_file").alias("file"), F.col("t_symbol").alias("symbol")).agg(
-        F.min("distance").alias("distance"), F.min_by("t_line", order).alias("line"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.collect_set("break_type")).alias("breaks"), F.min_by("evidence", order).alias("evidence")
-    )
-    return merged.withColumn("id", F.concat_ws("|", "repo", "file", "symbol")).select("id", "repo", "file", "symbol", "line", "distance", "reasons", "breaks", "evidence").orderBy("distance", "repo", "file", "symbol", "line")
+    first = F.min(F.struct("distance", "pos", "t_line")).alias("first")
+    merged = expansions.groupBy(F.col("t_repo").alias("repo"), F.col("t_file").alias("file"), F.col("t_symbol").alias("symbol")).agg(first, F.array_sort(F.collect_set("reason")).alias("reasons"), F.array_sort(F.collect_set("break_type")).alias("breaks"))
+    whole = merged.select(F.concat_ws("|", "repo", "file", "symbol").alias("id"), "repo", "file", "symbol", F.col("first.t_line").alias("line"), F.col("first.distance").alias("distance"), "reasons", "breaks", evidence(F.col("first.pos")).alias("evidence"))
+    return whole.orderBy("distance", "repo", "file", "symbol", "line")
 
 
 def scope(expansions: DataFrame) -> DataFrame:
