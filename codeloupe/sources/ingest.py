@@ -6,7 +6,9 @@ Every step is a DataFrame operator, so that thousands of repositories are one jo
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import os
+import re
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,19 @@ def language_of(path):
 def listing(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """``repo_id, path, language, mtime, size, content`` of the source files below ``root``.
 
-    Skips dependency folders and dot-folders below the root (the root's own name doesn't matter).
+    Skips dependency folders and dot-folders below the root (the root's own name doesn't matter):
+    where the driver can walk the tree it doesn't enter them, else Spark lists all and drops theirs.
     ``content`` is a lazy column: a plan that doesn't use it doesn't read it.
     """
     root = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if os.path.isdir(root):
+        stats = {name: os.stat(name) for name in source_files(root)}
+        # Spark's scans pass over files without a byte.
+        found = spark.createDataFrame([(name, datetime.fromtimestamp(s.st_mtime, UTC), 0, b"") for name, s in stats.items() if not s.st_size], "path string, modificationTime timestamp, length long, content binary")
+        if walked := [re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name, s in stats.items() if s.st_size]:
+            found = found.unionByName(spark.read.format("binaryFile").load(walked))
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^.*?{_quoted(root)}/", "")
     rows = found.select(F.lit(repo).alias("repo_id"), path.alias("path"), F.date_trunc("second", "modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
     folders = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
@@ -41,9 +51,16 @@ def listing(spark: SparkSession, root: str, repo: str) -> DataFrame:
     return rows.withColumn("language", language_of(F.col("path"))).filter(F.col("language").isNotNull())
 
 
-def _quoted(text: str) -> str:
-    import re
+def source_files(root: str) -> list[str]:
+    """The files of known extensions below a folder; skipped folders are not entered."""
+    found = []
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(d for d in folders if d not in SKIPPED and not d.startswith("."))
+        found += [os.path.join(folder, n) for n in sorted(names) if "." in n and "." + n.rpartition(".")[2] in EXTENSIONS]
+    return found
+
 
+def _quoted(text: str) -> str:
     return re.escape(text.split("://", 1)[-1])
 
 

@@ -180,3 +180,28 @@ def test_api(spark, tmp_path, repo):
     assert not ws.data["links"]
     api.workspaces.delete("w")
     assert api.workspaces.list() == [] and api.workspaces.current() == ""
+
+
+def test_skipped_folders_are_not_entered(spark, tmp_path, monkeypatch):
+    root = tmp_path / "vendor"  # the root's own name doesn't matter
+    for path in ("a.go", "x [1]/{b}*.py", ".py", "node_modules/deep/c.js", ".git/d.py", "k=v/e.rs", "no", "f.txt"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x" if path != ".py" else "")  # one without a byte
+    entered = []
+    walk = os.walk
+    monkeypatch.setattr(os, "walk", lambda top: (entered.append(x[0]) or x for x in walk(top)))
+    found = ingest.listing(spark, str(root), "r")
+    assert sorted(r.path for r in found.select("path").collect()) == [".py", "a.go", "k=v/e.rs", "x [1]/{b}*.py"]
+    assert found.columns[:1] == ["repo_id"] and not [e for e in entered if "node_modules" in e or ".git" in e]
+    assert ingest.listing(spark, str(tmp_path / "vendor/node_modules/deep"), "r").count() == 1
+    (tmp_path / "empty").mkdir()
+    assert ingest.listing(spark, str(tmp_path / "empty"), "r").count() == 0
+
+
+def test_freshness_of_all_repositories(spark, tmp_path, repo):
+    store = Store(spark, tmp_path / "store")
+    assert store.freshness().count() == 0
+    store.index(str(repo))
+    later = datetime.now(UTC) + timedelta(seconds=11)
+    assert [(r.repo_id, r.stale) for r in store.freshness(now=later).collect()] == [(repo_id(str(repo)), True)]
+    assert [r.stale for r in store.freshness(timedelta(hours=1), later).collect()] == [False]
