@@ -41,6 +41,7 @@ RELATIONS = {
         CASE WHEN c_custkey % 2 = 0 THEN '.go' ELSE concat('m', c_custkey % 50, '.py') END AS dst_file, c_mktsegment AS note, CAST(c_custkey % 97 AS BIGINT) AS created_at FROM {customer}""",
     "docs": """SELECT 'r0' AS repo_id, concat('lib', p_size % 9, '/', lower(p_type), p_partkey % 13, '.go') AS file_path, concat(replace(p_name, ' ', '_'), '_', lower(p_type)) AS name, 'function' AS type,
         CAST(p_partkey AS INT) AS start_line, CAST(p_partkey + 3 AS INT) AS end_line, replace(p_brand, '#', '') AS parent, concat(p_name, ' ', CASE WHEN p_size % 3 = 0 THEN 'metal ring' ELSE 'gear' END) AS body_tokens, p_partkey AS symbol_id FROM {part}""",
+    "texts": """SELECT 'r0' AS repo_id, concat(source, '/', doc_id, '.txt') AS file_path, concat(lang, '_', doc_id) AS name, 'function' AS type, 1 AS start_line, 2 AS end_line, '' AS parent, text AS body_tokens, doc_id AS symbol_id FROM {documents}""",
     "sources": """SELECT 'r0' AS repo_id, concat('lib', p_size % 5, '/m', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.go' END) AS path, CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'go' END AS language, p_partkey, p_size,
         concat(replace(p_name, ' ', '_'), p_size) AS fn, concat('call_', p_partkey % 50) AS callee, lower(p_type) AS module,
         CASE WHEN p_partkey % 2 = 0
@@ -340,7 +341,12 @@ WORDS = """w AS (SELECT symbol_id, file_path, name, start_line, parent, type, st
     f AS (SELECT *, {counts} FROM w), s AS (SELECT count(*) AS total, avg(d) AS a, {hits} FROM f)"""
 
 
-def bm25(tokens: list[str]) -> tuple[str, str, str]:
+#: The same for whole texts in any language: letters and digits of Unicode, Latin diacritics folded.
+PLAIN = "string_split_regex(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\pL\\pN]+')"
+TEXT_WORDS = WORDS.replace("string_split_regex(lower(body_tokens), '[^a-z0-9]+')", PLAIN.format("body_tokens")).replace("string_split_regex(lower(concat_ws(' ', name, type, parent, file_path, replace(name, '_', ' '), body_tokens)), '[^a-z0-9]+')", PLAIN.format("concat_ws(' ', name, type, parent, file_path, replace(name, '_', ' '), body_tokens)")).replace("{docs}", "{texts}")
+
+
+def bm25(tokens: list[str], words: str = WORDS) -> tuple[str, str, str]:
     """DuckDB: the relations, the rank and the condition of a plain search."""
     keys = [(f"f{k}{c}", t, c) for k, t in enumerate(tokens) for c in "nb"]
     counts = ", ".join(f"len(list_filter({c}, lambda x: starts_with(x, '{t}'))) AS {k}" for k, t, c in keys)
@@ -348,7 +354,7 @@ def bm25(tokens: list[str]) -> tuple[str, str, str]:
     idf = lambda k: f"greatest(CASE WHEN ln((total - h{k} + 0.5) / (h{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - h{k} + 0.5) / (h{k} + 0.5)) END, 0)"
     rank = " + ".join(f"{idf(k)} * {k} * 2.2 / ({k} + 1.2 * (0.25 + 0.75 * d / a))" for k, _, _ in keys)
     where = " AND ".join(f"(f{k}n > 0 OR f{k}b > 0)" for k in range(len(tokens)))
-    return "WITH " + WORDS.replace("{counts}", counts).replace("{hits}", hits), f"round(-({rank}), 6)", where
+    return "WITH " + words.replace("{counts}", counts).replace("{hits}", hits), f"round(-({rank}), 6)", where
 
 
 HEAD, RANK, WHERE = bm25(["hot", "gea"])
@@ -384,6 +390,28 @@ def fts_postings(docs):
     return words.groupBy("token").agg(F.count("*").alias("places"), F.countDistinct("symbol_id").alias("documents"))
 
 
+TEXT_HEAD, TEXT_RANK, TEXT_WHERE = bm25(["ther", "eau"], TEXT_WORDS)
+
+
+@query(f"{TEXT_HEAD} SELECT symbol_id, name, {TEXT_RANK} AS rank FROM f, s WHERE {TEXT_WHERE}", "texts")
+def fts_documents(texts):
+    return fulltext.ranked(texts, "ther eau").select("symbol_id", "name", F.round("rank", 6).alias("rank"))
+
+
+@query(f"SELECT token, count(*) AS places, count(DISTINCT symbol_id) AS documents FROM (SELECT symbol_id, unnest(list_filter({PLAIN.format('body_tokens')}, lambda x: x <> '')) AS token FROM {{texts}}) GROUP BY token", "texts")
+def fts_documents_postings(texts):
+    words = fulltext.postings(texts).filter(F.col("col") == fulltext.COLUMNS.index("body_tokens"))
+    return words.groupBy("token").agg(F.count("*").alias("places"), F.countDistinct("symbol_id").alias("documents"))
+
+
+@query(f"{TEXT_HEAD} SELECT symbol_id, name, {TEXT_RANK} AS rank FROM f, s WHERE {TEXT_WHERE}", "texts")
+def fts_documents_indexed(texts):
+    """By what indexing stores: words and postings."""
+    stored = fulltext.with_words(texts)
+    index = stored.select(F.explode(F.array_distinct(F.flatten("words"))).alias("token"), "symbol_id")
+    return fulltext.ranked(stored, "ther eau", index=index).select("symbol_id", "name", F.round("rank", 6).alias("rank"))
+
+
 STATUS = """WITH d AS (SELECT coalesce(l.repo_id, s.repo_id) AS repo_id, coalesce(l.path, s.path) AS path, CASE WHEN l.path IS NULL THEN 'removed' WHEN s.path IS NULL THEN 'added'
     WHEN l.mtime = s.mtime AND l.size = s.size THEN 'unchanged' ELSE 'candidate' END AS status FROM {listed} l FULL JOIN {stored} s ON l.repo_id = s.repo_id AND l.path = s.path)"""
 

@@ -208,7 +208,8 @@ def tokenised(symbols: DataFrame) -> DataFrame:
         kind = symbols.schema[c].dataType.simpleString()
         return F.array_join(c, " ") if kind.startswith("array") else F.coalesce(F.col(c), F.lit(""))
 
-    return symbols.withColumn("__words", F.array(*(index_words(text(c)) for c in COLUMNS)))
+    # A one-element generator: a plain projection would be merged into the lambdas below, and run for each place of a text.
+    return symbols.withColumn("__words", F.explode(F.array(F.array(*(index_words(text(c)) for c in COLUMNS)))))
 
 
 def with_words(symbols: DataFrame) -> DataFrame:
