@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloupe.llm.common import checkpointed, columns
+from codeloupe.llm.common import checkpointed, columns, packed
 
 SHARDS = 8
 #: Bits of the hash that one level of ranges splits by.
@@ -28,13 +28,10 @@ BITS = 16
 PIECES = 1024
 
 
-def key(text: str = "text") -> Column:
-    """The group's place in the order. Two texts of one hash would only share a shard."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
-def size(text: str = "text") -> Column:
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+def described(row: Column, doc_id: Column, text: Column) -> list[Column]:
+    """``row`` and what its place follows from. Two texts of one hash (``key``) would only share a shard."""
+    known = F.coalesce(text, F.lit(""))
+    return [row.alias("row"), doc_id.alias("id"), (F.octet_length(known).cast("long") + 1).alias("size"), F.crc32(known.cast("binary")).alias("text_crc32"), F.xxhash64(known).alias("key")]
 
 
 class Ranges:
@@ -112,32 +109,43 @@ def cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[int]]:
         ranges.refine(met)
 
 
+def numbered(rows: DataFrame, shards: int) -> DataFrame:
+    """``described`` rows with ``shard`` and ``slot``."""
+    groups = checkpointed(rows.groupBy("key").agg(F.sum("size").alias("size")))
+    _, ends = cuts(groups, shards)
+    place = sum((F.when(F.col("key") > end, 1).otherwise(0) for end in ends), F.lit(0)) if ends else F.lit(0)
+    placed = rows.withColumn("shard", place.cast("int")).withColumn("piece", F.pmod(F.xxhash64("id", "key"), F.lit(PIECES)).cast("int"))
+    counts = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    # At most shards x PIECES rows, whatever the input.
+    starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "piece").orderBy("id", "key")
+    return placed.withColumn("nth", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "piece"]).withColumn("slot", (F.col("start") + F.col("nth") - 1).cast("long"))
+
+
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def results() -> list[Column]:
+    return [F.col("size"), F.col("text_crc32"), F.lit("bytes").alias("law"), F.col("shard"), F.col("slot"), F.lit(None).cast("int").alias("grown_shard")]
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``; columns of these names are replaced.
 
     The law is ``bytes``: the largest shard is as small as cuts between groups in hash order allow.
     Equal texts, null and empty ones among them, share a shard; repeated rows get a slot each. A
     shard's slots run from 0 without a gap: first by pieces of a hash of the row's doc_id and text,
-    then by doc_id. Fewer groups than shards leave shards empty. ``grown_shard`` is null under this law.
+    then by doc_id. Fewer groups than shards leave shards empty, an empty table gives no row.
+    Other columns pass through, whatever their names. ``grown_shard`` is null under this law.
     """
-    own = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in own), size().alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), key().alias("__key"))
-    groups = checkpointed(rows.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("size")))
-    _, ends = cuts(groups, shards)
-    place = sum((F.when(F.col("__key") > end, 1).otherwise(0) for end in ends), F.lit(0)) if ends else F.lit(0)
-    placed = rows.withColumn("shard", place.cast("int")).withColumn("__piece", F.pmod(F.xxhash64("doc_id", "__key"), F.lit(PIECES)).cast("int"))
-    counts = placed.groupBy("shard", "__piece").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    # At most shards x PIECES rows, whatever the input.
-    starts = counts.select("shard", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("shard", "__piece").orderBy("doc_id", "__key")
-    numbered = placed.withColumn("__row", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "__piece"])
-    return numbered.select(
-        *(F.col(f"`{c}`") for c in own), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("__start") + F.col("__row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    own = [c for c in docs.columns if c not in RESULT]
+    row = F.col("row")
+    rows = packed(docs).select(*described(row, row["doc_id"], row["text"].cast("string")))
+    return numbered(rows, shards).select(*(row.getField(c).alias(c) for c in own), *results())
 
 
 def assignments(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row of ``docs``."""
-    return shard(columns(docs, doc_id="long", text="string"), shards).drop("text")
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row of ``docs``; texts are not shuffled."""
+    own = columns(docs, doc_id="long", text="string")
+    return numbered(own.select(*described(F.col("doc_id"), F.col("doc_id"), F.col("text"))), shards).select(F.col("row").alias("doc_id"), *results())

@@ -59,3 +59,42 @@ def test_columns_pass(docs):
     found = m.shard(docs([(1, "a"), (2, None)]))
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert found.count() == 2 and m.shard(docs([])).count() == 0
+
+
+def test_clashing_and_dotted_columns(docs):
+    df = docs([(1, "a"), (2, None), (2, "b")]).selectExpr("*", "1 AS __key", "2 AS key", "3 AS row", "4 AS id", "5 AS `a.b`", "6 AS size", "7 AS piece", "8 AS nth")
+    found = m.shard(df, 2)
+    assert found.columns == [*(c for c in df.columns if c != "size"), "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted((r.doc_id, r["__key"], r.key, r.row, r.id, r["a.b"], r.piece, r["size"]) for r in found.collect()) == [(1, 1, 2, 3, 4, 5, 7, 2), (2, 1, 2, 3, 4, 5, 7, 1), (2, 1, 2, 3, 4, 5, 7, 2)]
+
+
+def plain_cuts(sizes, shards):
+    """Capacity and cuts of the groups in order, by trying every capacity upwards."""
+    capacity = max(sizes)
+    while True:
+        found, inside = [0], 0
+        for size in sizes:
+            if inside + size > capacity:
+                found.append(0)
+                inside = 0
+            inside += size
+            found[-1] += 1
+        if len(found) <= shards:
+            return capacity, found
+        capacity += 1
+
+
+def test_cuts_like_brute_force(docs):
+    rows = [(k, prose(k % 37, 1 + k * k % 90)) for k in range(150)] + [(200 + k, prose(7, 50)) for k in range(60)]
+    df = docs(rows)
+    groups = {}
+    for r in df.selectExpr("xxhash64(text) AS key", "octet_length(text) + 1 AS size").collect():
+        groups[r.key] = groups.get(r.key, 0) + r["size"]
+    capacity, counts = plain_cuts([groups[k] for k in sorted(groups)], 8)
+    shard_of = dict(zip(sorted(groups), [s for s, n in enumerate(counts) for _ in range(n)]))
+    found = m.assignments(df).join(df.selectExpr("doc_id", "xxhash64(text) AS key"), "doc_id").collect()
+    assert all(r.shard == shard_of[r.key] for r in found)
+    totals = {}
+    for r in found:
+        totals[r.shard] = totals.get(r.shard, 0) + r["size"]
+    assert max(totals.values()) == capacity
