@@ -13,6 +13,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codeloupe.checkpoints import checkpointed
 from codeloupe.functions import text
@@ -133,6 +134,12 @@ def query(sql: str | None, *names: str):
 COLS = "name, type, file_path, start_line, end_line, parent"
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """An operator's rows with their place in its order, from 1."""
+    rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+    return df.sparkSession.createDataFrame(rows, StructType([*df.schema.fields, StructField("place", LongType())]))
+
+
 @query(f"SELECT {COLS} FROM {{symbols}} WHERE name = '{NAME}'", "symbols")
 def search_exact(symbols):
     return search.search_symbols(symbols, SearchQuery(name=NAME))
@@ -182,6 +189,21 @@ def search_dedupe(rows):
     return search.first_of_each(ordered).select("file_path", "name", "type", "start_line", "l_suppkey", "l_partkey")
 
 
+@query(f"SELECT {COLS}, row_number() OVER (ORDER BY file_path, start_line, name, type) AS place FROM {{symbols}} WHERE lower(name) LIKE 'red_w%'", "symbols")
+def search_order(symbols):
+    return placed(search.search_symbols(symbols, SearchQuery(like="red_w")))
+
+
+@query(f"SELECT caller_file, caller_name, line, row_number() OVER (ORDER BY caller_file, line, caller_name) AS place FROM {{refs}} WHERE callee_name = '{NAME}'", "refs")
+def callers_order(refs):
+    return placed(search.find_callers(refs, NAME))
+
+
+@query("SELECT file_path, import_path, alias, line, row_number() OVER (ORDER BY file_path, line, import_path) AS place FROM {imports} WHERE import_path = '/the'", "imports")
+def imports_order(imports):
+    return placed(search.search_imports(imports, module="/the"))
+
+
 @query(f"SELECT caller_file, caller_name, callee_name, line FROM {{refs}} WHERE caller_name = '{NAME}'", "refs")
 def refs_filter(refs):
     return search.search_refs(refs, caller=NAME)
@@ -258,6 +280,11 @@ def hotspots_topn(refs, symbols):
     return aggregates.hotspots(refs, symbols)
 
 
+@query(f"SELECT *, row_number() OVER (ORDER BY call_count DESC, callee_name) AS place FROM ({HOT})", "refs", "symbols")
+def hotspots_order(refs, symbols):
+    return placed(aggregates.hotspots(refs, symbols))
+
+
 @query("SELECT (SELECT count(*) FROM {files}) AS total_files, (SELECT max(indexed_at) FROM {files}) AS last_indexed, (SELECT count(*) FROM {symbols}) AS total_symbols", "files", "symbols")
 def report_totals(files, symbols):
     return aggregates.report_totals(files, symbols)
@@ -375,6 +402,17 @@ def fts_prefix_filtered(docs):
     return search.search_symbols(docs, SearchQuery(fuzzy="hot gea", path="lib4/", parent="*")).select("name", "file_path", "start_line", F.round("rank", 6).alias("rank"))
 
 
+@query(f"SELECT *, row_number() OVER (ORDER BY rank, file_path, start_line, symbol_id) AS place FROM ({HEAD} SELECT symbol_id, name, file_path, start_line, {RANK} AS rank FROM f, s WHERE {WHERE}) ORDER BY place LIMIT 40", "docs")
+def fts_order(docs):
+    found = search.search_symbols(docs, SearchQuery(fuzzy="hot gea", limit=40)).select("name", "file_path", "start_line", F.round("rank", 6).alias("rank"))
+    return placed(found.withColumn("symbol_id", F.col("start_line").cast("long")))
+
+
+@query("SELECT symbol_id, name FROM {docs} WHERE name IS NULL", "docs")
+def fts_empty_query(docs):
+    return fulltext.ranked(docs, "_ - .").select("symbol_id", "name")
+
+
 @query(
     """SELECT symbol_id, name FROM {docs} WHERE (regexp_matches(lower(body_tokens), '\\bhot gear\\b') OR starts_with(lower(parent), 'brand1'))
     AND NOT regexp_matches(lower(concat_ws(' ; ', name, type, parent, file_path, replace(name, '_', ' '), body_tokens)), '(^|[^a-z0-9])metal')""",
@@ -620,6 +658,39 @@ def impact_aggregate(symbols, refs):
     return scoring.aggregate(scoring.score(graph.impacts(walked(symbols, refs)[1]))).select("risk_score", F.round("confidence", 6).alias("confidence"))
 
 
+#: Other weights: those of two reasons, and a lower cap of the penalty for distance.
+HEAVIER = {"reasons": {"DIRECT_CALLER_SIGNATURE_MISMATCH": 10, "CROSS_REPO_CONTRACT_EDGE": 20}, "penalty_cap": 5, "cross_bonus": 3, "score_boost": 0}
+WALK_HEAVIER = WALK.replace("THEN 45 ELSE", "THEN 10 ELSE").replace("THEN 35 + 12 ELSE", "THEN 20 + 3 ELSE").replace("* 4, 24)", "* 4, 5)")
+
+
+@query(f"{WALK_HEAVIER} SELECT repo, file, symbol, risk_score FROM scored", "symbols", "refs")
+def impact_scores_weighted(symbols, refs):
+    return scoring.score(graph.impacts(walked(symbols, refs)[1]), scoring.Weights().merged(**HEAVIER)).select("repo", "file", "symbol", "risk_score")
+
+
+@query(
+    f"""{WALK} SELECT repo, file, symbol, CAST(CASE WHEN list_contains(reasons, 'DIRECT_CALLER_SIGNATURE_MISMATCH') THEN 45 ELSE 0 END + CASE WHEN list_contains(reasons, 'INDIRECT_CALL_CHAIN_PROPAGATION') THEN 18 ELSE 0 END + CASE WHEN list_contains(reasons, 'CROSS_REPO_CONTRACT_EDGE') THEN 35 ELSE 0 END AS INT) AS by_reasons,
+    CAST(CASE WHEN list_contains(breaks, 'compile_error') THEN 22 ELSE 0 END + CASE WHEN list_contains(breaks, 'behavioral_regression') THEN 14 ELSE 0 END + CASE WHEN list_contains(breaks, 'contract_break') THEN 20 ELSE 0 END AS INT) AS by_breaks,
+    CAST(least((distance - 1) * 4, 24) AS INT) AS penalty, CAST(CASE WHEN list_contains(reasons, 'CROSS_REPO_CONTRACT_EDGE') THEN 12 ELSE 0 END AS INT) AS bonus, CAST(raw AS INT) AS raw_score, risk_score AS final_score FROM scored""",
+    "symbols",
+    "refs",
+)
+def impact_explanations(symbols, refs):
+    e = F.col("explanation")
+    parts = [F.aggregate(F.map_values(e["base_by_reasons"]), F.lit(0), lambda n, x: n + x).alias("by_reasons"), e["break_type_weight_sum"].alias("by_breaks"), e["distance_penalty"].cast("int").alias("penalty"), e["cross_repo_bonus"].alias("bonus"), e["raw_score"].cast("int").alias("raw_score"), e["final_score"].alias("final_score")]
+    return scoring.score(graph.impacts(walked(symbols, refs)[1])).select("repo", "file", "symbol", *parts)
+
+
+@query(f"{WALK} SELECT repo, file, symbol, row_number() OVER (ORDER BY distance, repo, file, symbol) AS place FROM impact", "symbols", "refs")
+def impact_order(symbols, refs):
+    return placed(graph.impacts(walked(symbols, refs)[1]).select("repo", "file", "symbol"))
+
+
+@query(f"{WALK} SELECT repo, file, symbol, row_number() OVER (ORDER BY risk_score DESC, confidence DESC, distance, repo, file, symbol) AS place FROM scored", "symbols", "refs")
+def impact_order_scored(symbols, refs):
+    return placed(scoring.score(graph.impacts(walked(symbols, refs)[1])).select("repo", "file", "symbol"))
+
+
 @query(f"{WALK} SELECT {TIER.format('risk_score')} AS risk_tier, CASE WHEN risk_score >= 85 THEN 'very_likely' WHEN risk_score >= 60 THEN 'likely' WHEN risk_score >= 30 THEN 'possible' ELSE 'unlikely' END AS likelihood, count(*) AS n FROM scored GROUP BY 1, 2", "symbols", "refs")
 def impact_tiers(symbols, refs):
     return scoring.score(graph.impacts(walked(symbols, refs)[1])).groupBy("risk_tier", "likelihood").agg(F.count("*").alias("n"))
@@ -674,6 +745,11 @@ def links_filter(links):
     return workspace.list_links(links, repo="r1", dst_symbol="red_widget_7").select("id", "src_repo_id", "dst_repo_id", "src_symbol", "dst_symbol")
 
 
+@query("SELECT id, row_number() OVER (ORDER BY created_at, id) AS place FROM {links} WHERE dst_repo_id = 'r2'", "links")
+def links_order(links):
+    return placed(workspace.list_links(links, dst_repo="r2").select("id"))
+
+
 @query("SELECT id, concat(CASE WHEN id % 2 = 0 THEN concat('a=', note, ';') ELSE '' END, CASE WHEN id % 3 = 0 THEN concat('b=', src_symbol) ELSE '' END) AS meta FROM {links}", "links")
 def links_meta_map(links):
     meta = links.filter("id % 3 = 0").select(F.col("id").alias("link_id"), F.lit("b").alias("key"), F.col("src_symbol").alias("value")).unionByName(links.filter("id % 2 = 0").select(F.col("id").alias("link_id"), F.lit("a").alias("key"), F.col("note").alias("value")))
@@ -681,18 +757,26 @@ def links_meta_map(links):
     return workspace.with_meta(links, meta).select("id", F.concat(entry("a", ";"), entry("b", "")).alias("meta"))
 
 
+def located_sql(side: str) -> str:
+    """DuckDB: where the symbols of one end of all links are now; repository r2 is unknown."""
+    return f"""SELECT id, repo, CASE WHEN repo = 'r2' OR n = 0 THEN NULL WHEN same > 0 THEN recorded WHEN k = 1 THEN one WHEN k = 0 THEN first END AS file, repo <> 'r2' AND same > 0 AS valid,
+        CASE WHEN repo = 'r2' THEN 'unknown' WHEN n = 0 THEN 'missing' WHEN same = 0 AND k > 1 THEN 'ambiguous' ELSE 'ok' END AS state
+        FROM (SELECT l.id, l.{side}_repo_id AS repo, l.{side}_file AS recorded, count(s.file_path) AS n, count(*) FILTER (WHERE s.file_path = l.{side}_file) AS same, count(*) FILTER (WHERE ends_with(s.file_path, l.{side}_file)) AS k,
+            min(s.file_path) FILTER (WHERE ends_with(s.file_path, l.{side}_file)) AS one, min(s.file_path) AS first
+            FROM {{links}} l LEFT JOIN {{symbols}} s ON s.repo_id = l.{side}_repo_id AND s.name = l.{side}_symbol GROUP BY l.id, l.{side}_repo_id, l.{side}_file)"""
+
+
 @query(
-    """WITH c AS (SELECT l.id, l.dst_file, s.file_path, s.start_line, ends_with(s.file_path, l.dst_file) AS e FROM {links} l LEFT JOIN {symbols} s ON s.repo_id = l.dst_repo_id AND s.name = l.dst_symbol),
-    g AS (SELECT id, dst_file, count(file_path) AS n, count(*) FILTER (WHERE e) AS k, min(file_path) FILTER (WHERE e) AS one, min(file_path) AS first FROM c GROUP BY id, dst_file)
-    SELECT id, CASE WHEN n = 0 THEN NULL WHEN k = 1 THEN one WHEN k = 0 THEN first END AS dst_actual_file, CASE WHEN n = 0 THEN 'missing' WHEN k > 1 THEN 'ambiguous' ELSE 'ok' END AS state FROM g""",
+    f"""WITH a AS ({located_sql('src')}), b AS ({located_sql('dst')})
+    SELECT a.id, a.file AS src_actual_file, a.state AS src_state, CASE WHEN a.repo <> 'r2' THEN a.valid END AS src_valid, b.file AS dst_actual_file, b.state AS dst_state, CASE WHEN b.repo <> 'r2' THEN b.valid END AS dst_valid FROM a JOIN b ON a.id = b.id""",
     "links",
     "symbols",
 )
 def link_validate(links, symbols):
-    repos = symbols.select(F.col("repo_id").alias("id")).distinct()
+    repos = symbols.select(F.col("repo_id").alias("id")).distinct().filter("id <> 'r2'")
     found = workspace.validate_links(links, symbols, repos)
-    state = F.when(F.col("dst_error").contains("not found"), "missing").when(F.col("dst_error").contains("ambiguous"), "ambiguous").otherwise("ok")
-    return found.select("id", "dst_actual_file", state.alias("state"))
+    state = lambda e: F.when(F.col(e).contains("not found in workspace"), "unknown").when(F.col(e).contains("not found"), "missing").when(F.col(e).contains("ambiguous"), "ambiguous").otherwise("ok")
+    return found.select("id", "src_actual_file", state("src_error").alias("src_state"), "src_valid", "dst_actual_file", state("dst_error").alias("dst_state"), "dst_valid")
 
 
 @query("SELECT repo_id, name, file_path, start_line FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file_path, start_line, name, type) AS k FROM {symbols} WHERE lower(name) LIKE 'hot%') WHERE k <= 7", "symbols")
