@@ -70,8 +70,10 @@ def score(impacts: DataFrame, weights: Weights | None = None) -> DataFrame:
 
 def aggregate(scored: DataFrame) -> DataFrame:
     """One row, ``risk_score, confidence, risk_tier``: the worst item at 60 %, the mean by 1/distance at 40 %."""
-    weight = F.when(F.col("distance") > 1, 1.0 / F.col("distance")).otherwise(1.0)
-    sums = scored.agg(F.max("risk_score").alias("top"), F.sum(F.col("risk_score") * weight).alias("risk"), F.sum(weight).alias("weight"), F.avg("confidence").alias("confidence"))
+    weight = F.when(F.col("distance") > 1, 1.0 / F.col("distance")).otherwise(1.0) * F.col("n")
+    # Counted by what the sums are of, so that items aren't sorted first; there are few such values.
+    counted = scored.groupBy("risk_score", "distance", "confidence").agg(F.count("*").alias("n"))
+    sums = counted.agg(F.max("risk_score").alias("top"), F.sum(F.col("risk_score") * weight).alias("risk"), F.sum(weight).alias("weight"), (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("confidence"))
     some = F.col("top").isNotNull()
     mean = clamp(F.floor(F.col("risk") / F.col("weight") + 0.5), 0, 100)
     whole = F.when(some, F.floor((clamp(F.col("top"), 0, 100) * 60 + mean * 40) / 100)).otherwise(0).cast("int")

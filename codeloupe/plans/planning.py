@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from codeloupe.model import CHANGE_KINDS, CROSS, DYNAMIC, MANUAL
 
 HIGH, CRITICAL, UNSURE, MANY_CALLERS, MOST_BATCHES = 65, 85, 0.55, 3, 5
@@ -90,12 +93,20 @@ def alternatives(chosen: str, risk: int) -> list[dict]:
     return [dict(zip(("name", "description", "expected_risk_score_delta", "tradeoffs"), a, strict=True)) for a in (bridge, flag) if a[0] != chosen]
 
 
+def deciding(scored: DataFrame) -> list[dict]:
+    """The few scored impacts that ``plan`` looks at, riskiest first: the first ones, and one for each repository and set of reasons."""
+    risk = [F.desc("risk_score"), F.desc("confidence"), "distance"]
+    first = scored.orderBy(*risk, "repo", "file", "symbol", "line").limit(1).collect() + scored.orderBy(*risk, "id").limit(2).collect()
+    others = scored.groupBy("repo", "reasons").agg(F.min_by(F.struct(*scored.columns), "id").alias("x")).select("x.*").orderBy(*risk, "id").collect()
+    return list({r["id"]: r.asDict() for r in (*first, *others)}.values())
+
+
 def plan(start: dict, scope: dict, items: list[dict], scores: dict, warnings: list[str] | tuple = ()) -> dict:
     """Signals, steps, checks, notifications and alternatives.
 
     ``items`` are scored impacts, riskiest first, with their ``reasons``; what the rules look at is
     whether some item has a reason, which repositories occur, and the first two items, so it is
-    enough to pass those.
+    enough to pass those (``deciding``).
     """
     given = {r for x in items for r in x["reasons"]}
     risk = scores["risk_score"]
