@@ -33,27 +33,31 @@ def parse_meta(pairs: list[str]) -> dict[str, str]:
     return found
 
 
-def located(links: DataFrame, symbols: DataFrame, side: str) -> DataFrame:
-    """Per link of one side (``src`` or ``dst``): where its symbol is now.
+def located(ends: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per different row of ``ends``, ``repo_id, name, recorded`` of links' ends: where the symbol is now.
 
     ``actual_file`` is the recorded file if the symbol is there, else the only file that ends like
     the recorded one, else the symbol's first file; ``error`` is set if there is no such symbol, or
     several files end like the recorded one.
+
+    Symbols never meet links one by one: what ends like a recorded file is found by equality, of the
+    end of each file that is as long. So a symbol is held once for each length of its name's recorded files.
     """
-    at = links.select("id", F.col(f"{side}_repo_id").alias("repo_id"), F.col(f"{side}_symbol").alias("name"), F.col(f"{side}_file").alias("recorded"))
-    s = symbols.select("repo_id", "name", "file_path", "start_line")
-    rows = at.join(s, ["repo_id", "name"], "left")
-    ends = F.col("file_path").endswith(F.col("recorded"))
-    order = F.struct("file_path", "start_line")
-    seen = rows.groupBy("id", "name", "recorded").agg(
-        F.count("file_path").alias("n"), F.count_if(F.col("file_path") == F.col("recorded")).alias("same"), F.count_if(ends).alias("alike"),
-        F.min_by(F.when(ends, F.col("file_path")), F.when(ends, order)).alias("one"), F.min_by("file_path", F.when(F.col("file_path").isNotNull(), order)).alias("first"),
-    )
+    at = ends.distinct()
+    lengths = at.groupBy("repo_id", "name").agg(F.collect_set(F.length("recorded")).alias("lengths"))
+    s = symbols.select("repo_id", "name", "file_path").join(lengths, ["repo_id", "name"])
+    # The whole file stands under null, for names whose files count whatever they end like.
+    within = F.filter("lengths", lambda k: k <= F.length("file_path"))
+    tails = s.select("repo_id", "name", "file_path", F.explode(F.concat(F.array(F.lit(None).cast("int")), within)).alias("k")).withColumn("tail", F.expr("right(file_path, k)"))
+    tails = tails.groupBy("repo_id", "name", "tail").agg(F.count("file_path").alias("n"), F.count_if(F.col("file_path") == F.col("tail")).alias("same"), F.min("file_path").alias("first"))
+    whole = tails.filter(F.col("tail").isNull()).select("repo_id", "name", "n", "first")
+    alike = tails.filter(F.col("tail").isNotNull()).select("repo_id", "name", F.col("tail").alias("recorded"), "same", F.col("n").alias("alike"), F.col("first").alias("one"))
+    seen = at.join(whole, ["repo_id", "name"], "left").join(alike, ["repo_id", "name", "recorded"], "left").fillna(0, ["n", "same", "alike"])
     file = F.when(F.col("same") > 0, F.col("recorded")).when(F.col("alike") == 1, F.col("one")).when(F.col("alike") == 0, F.col("first"))
     error = F.when(F.col("n") == 0, F.concat(F.lit("symbol '"), "name", F.lit("' not found in repo"))).when(
         (F.col("same") == 0) & (F.col("alike") > 1), F.concat(F.lit("symbol '"), "name", F.lit("' is ambiguous: "), F.col("alike").cast("string"), F.lit(" matches"))
     )
-    return seen.select("id", F.col("recorded").alias("recorded_file"), F.when(F.col("n") > 0, file).alias("actual_file"), error.alias("error"))
+    return seen.select("repo_id", "name", "recorded", F.when(F.col("n") > 0, file).alias("actual_file"), error.alias("error"))
 
 
 def validate_links(links: DataFrame, symbols: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -63,16 +67,20 @@ def validate_links(links: DataFrame, symbols: DataFrame, repositories: DataFrame
     """
     found = links
     known = repositories.select(F.col("id").alias("__repo")).distinct()
+    # Both ends of all links look for few different symbols and files; of these there is one relation.
+    src, dst = (links.select(F.col(f"{side}_repo_id").alias("repo_id"), F.col(f"{side}_symbol").alias("name"), F.col(f"{side}_file").alias("recorded")) for side in ("src", "dst"))
+    places = located(src.unionByName(dst), symbols)
     for side in ("src", "dst"):
-        l = located(links, symbols, side).select("id", F.col("recorded_file").alias("__recorded"), F.col("actual_file").alias(f"{side}_actual_file"), F.col("error").alias(f"{side}_error"))
-        found = found.join(l, "id", "left").join(known, F.col(f"{side}_repo_id") == F.col("__repo"), "left")
+        l = places.select(F.col("repo_id").alias("__r"), F.col("name").alias("__name"), F.col("recorded").alias("__recorded"), F.col("actual_file").alias(f"{side}_actual_file"), F.col("error").alias(f"{side}_error"))
+        same = [F.col(f"{side}_{a}").eqNullSafe(F.col(b)) for a, b in (("repo_id", "__r"), ("symbol", "__name"), ("file", "__recorded"))]
+        found = found.join(l, same, "left").join(known, F.col(f"{side}_repo_id") == F.col("__repo"), "left")
         lost = F.col("__repo").isNull()
         valid = F.col(f"{side}_error").isNull() & (F.col(f"{side}_actual_file") == F.col("__recorded"))
         found = found.withColumns({
             f"{side}_valid": F.when(~lost, F.coalesce(valid, F.lit(False))),
             f"{side}_actual_file": F.when(~lost, F.col(f"{side}_actual_file")),
             f"{side}_error": F.when(lost, F.concat(F.lit("repo '"), f"{side}_repo_id", F.lit("' not found in workspace"))).otherwise(F.col(f"{side}_error")),
-        }).drop("__repo", "__recorded")
+        }).drop("__repo", "__r", "__name", "__recorded")
     return found.orderBy("created_at", "id")
 
 
