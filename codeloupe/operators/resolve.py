@@ -30,14 +30,18 @@ def resolve_callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     length, not with its square. Calls on a line are joined once.
     """
     keys = [c for c in ("repo_id",) if c in calls.columns and c in symbols.columns] + ["file_path"]
-    lines = calls.groupBy(*keys, "line", "callee_name").agg(F.count("*").alias("__n"))
+    # All that follows is of one file and band: symbols are shuffled once, calls for their lines and for themselves.
+    near = [*keys, "__band"]
+    lines = calls.select(*keys, "line", "callee_name", band("line").alias("__band")).repartition(*near).groupBy(*near, "line", "callee_name").agg(F.count("*").alias("__n"))
     spans = symbols.select(*keys, F.col("name").alias("__name"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("ord").alias("ord")).alias("__key"), "start_line", "end_line", bands("start_line", "end_line").alias("__band"))
-    at = lines.select(*keys, "line", band("line").alias("__band")).distinct().alias("c")
+    at = lines.select(*near, "line").distinct().alias("c")
     s = spans.alias("s")
-    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in (*keys, "__band")]
+    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in near]
     inside = at.join(s, [*same, F.col("line").between(F.col("start_line"), F.col("end_line"))])
-    around = inside.groupBy(*(F.col(f"c.{k}").alias(k) for k in keys), F.col("c.line").alias("line")).agg(F.min_by("__name", "__key").alias("caller_name"))
-    found = lines.join(around, [*keys, "line"], "left").withColumn("caller_name", F.coalesce("caller_name", F.lit("")))
+    around = inside.groupBy(*(F.col(f"c.{k}").alias(k) for k in near), F.col("c.line").alias("line")).agg(F.min_by("__name", "__key").alias("caller_name")).alias("a")
+    # As a difference the line is no key of the join: a call meets the lines of its band, 128 at most.
+    met = [*(F.col(f"l.{k}") == F.col(f"a.{k}") for k in near), F.col("l.line") - F.col("a.line") == 0]
+    found = lines.alias("l").join(around, met, "left").select(*(F.col(f"l.{k}").alias(k) for k in keys), F.coalesce("a.caller_name", F.lit("")).alias("caller_name"), "callee_name", F.col("l.line").alias("line"), "__n")
     again = found.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
     return again.select(*keys[:-1], F.col("file_path").alias("caller_file"), "caller_name", "callee_name", "line")
 
@@ -49,9 +53,13 @@ def assign_parents(symbols: DataFrame, containers: tuple[str, ...] = CONTAINERS,
     a container. Bands of lines bound the join as in ``resolve_callers``.
     """
     keys = [c for c in ("repo_id",) if c in symbols.columns] + ["file_path"]
-    own = symbols.filter(F.col("type").isin(*children)).select(*keys, "ord", "start_line", band("start_line").alias("__band")).alias("s")
+    near = [*keys, "__band"]
+    rest = [c for c in symbols.columns if c not in (*keys, "ord", "parent")]
+    own = symbols.select(*keys, "ord", band("start_line").alias("__band"), F.struct(*rest).alias("__row"), F.col("type").isin(*children).alias("__child"), F.col("start_line").alias("__start")).alias("s")
     outer = symbols.filter(F.col("type").isin(*containers)).select(*keys, F.col("ord").alias("c_ord"), F.col("name").alias("c_name"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"), bands("start_line", "end_line").alias("__band")).alias("c")
-    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in (*keys, "__band")]
-    nested = own.join(outer, [*same, F.col("c_ord") < F.col("s.ord"), F.col("c_start") <= F.col("s.start_line"), F.col("c_end") >= F.col("s.start_line")])
-    parents = nested.groupBy(*(F.col(f"s.{k}").alias(k) for k in keys), F.col("s.ord").alias("ord")).agg(F.max_by("c_name", "c_ord").alias("parent"))
-    return symbols.drop("parent").join(parents, [*keys, "ord"], "left").withColumn("parent", F.coalesce("parent", F.lit("")))
+    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in near]
+    nested = own.join(outer, [*same, F.col("s.__child"), F.col("c_ord") < F.col("s.ord"), F.col("c_start") <= F.col("s.__start"), F.col("c_end") >= F.col("s.__start")], "left")
+    # A symbol is one row of its file and band, so its containers are already where it is.
+    parents = nested.groupBy(*(F.col(f"s.{k}").alias(k) for k in near), F.col("s.ord").alias("ord"), F.col("s.__row").alias("__row")).agg(F.max_by("c_name", "c_ord").alias("parent"))
+    found = parents.select(*keys, "ord", *(F.col(f"__row.{c}").alias(c) for c in rest), F.coalesce("parent", F.lit("")).alias("parent"))
+    return found.select(*(c for c in symbols.columns if c != "parent"), "parent")
