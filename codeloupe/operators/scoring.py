@@ -47,8 +47,8 @@ def weighed(items: Column, weights: dict[str, int]) -> Column:
     return F.aggregate(items, F.lit(0), lambda n, x: n + F.coalesce(lookup[x], F.lit(0))) if lookup is not None else F.lit(0)
 
 
-def score(impacts: DataFrame, weights: Weights | None = None) -> DataFrame:
-    """``impacts`` with ``risk_score, confidence, risk_tier, likelihood`` and an ``explanation``, riskiest first."""
+def score(impacts: DataFrame, weights: Weights | None = None, ordered: bool = True) -> DataFrame:
+    """``impacts`` with ``risk_score, confidence, risk_tier, likelihood`` and an ``explanation``, riskiest first where ``ordered``."""
     w = weights or Weights()
     reasons, d = F.col("reasons"), F.col("distance")
     penalty = F.greatest((d - 1) * w.penalty_step, F.lit(0))
@@ -65,7 +65,7 @@ def score(impacts: DataFrame, weights: Weights | None = None) -> DataFrame:
         F.col("__raw").alias("raw_score"), F.col("risk_score").alias("final_score"), "confidence", "risk_tier",
     )
     found = parts.withColumn("explanation", explanation).drop("__base", "__breaks", "__penalty", "__bonus", "__raw")
-    return found.orderBy(F.desc("risk_score"), F.desc("confidence"), "distance", "repo", "file", "symbol", "line")
+    return found.orderBy(F.desc("risk_score"), F.desc("confidence"), "distance", "repo", "file", "symbol", "line") if ordered else found
 
 
 def aggregate(scored: DataFrame) -> DataFrame:
